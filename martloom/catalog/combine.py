@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from martloom.catalog.common import SQL_BASE, base, query, r6, sql_r6, table
+from martloom.catalog.common import SQL_BASE, base, query, r6, sql_order, sql_r6, table
 from martloom.operators.aggregation import Aggregate, label_counts
 from martloom.operators.combine import distinct_keys, keep_keys, merge_features, union_relaxed
 from martloom.operators.encoding import fit_dates
@@ -168,15 +168,46 @@ def write_sources(spark, sf):
 TABLES = ("base", "static_0_*", "person_1")
 
 
-@query("""
-with n as (select count(*) as n from orders),
-  sizes as (select n, floor(n * 6 / 10)::bigint as train from n)
-select 'train' as split, train as n_rows, 23::int as n_features from sizes
-union all select 'valid', floor((n - train) / 2)::bigint, 23 from sizes
-union all select 'test', n - train - floor((n - train) / 2)::bigint, 23 from sizes
+# Features: 3 of the base, the price and 5 priorities of the static table, the length and
+# mean and deviation of 5 columns of the child table.
+@query(f"""
+with ranked as (select *, row_number() over (order by {sql_order("case_id", 1)}) as rn, count(*) over () as n
+                from ({SQL_BASE})),
+  placed as (select *, floor(n * 6 / 10) as train from ranked),
+  sets as (select *, case when rn <= train then 'train' when rn <= train + floor((n - train) / 2) then 'valid'
+                     else 'test' end as split from placed)
+select s.case_id, split, target::smallint as target, (3 + 1 + 5 + 1 + 2 * 5)::int as n_features,
+       {sql_r6("o_totalprice::float::double")} as price, len::double as len,
+       {sql_r6("mean_l_quantity::float::double")} as mean_quantity
+from sets s left join ({SQL_ITEM_AGG}) a on a.case_id = s.case_id
 """)
 def preprocess_job(spark, sf):
     result = build_mart(spark, write_sources(spark, sf), scratch_path(spark, "mart"), TABLES, with_test=False)
-    size = F.size(vector_to_array("features"))
-    return result.train.groupBy("split").agg(F.count("*").alias("n_rows"), F.max(size).alias("n_features"))
+    values = F.transform(vector_to_array("features"), lambda x: F.nanvl(x, F.lit(None)))
+    return result.train.select(
+        "case_id",
+        "split",
+        "target",
+        F.size(values).alias("n_features"),
+        r6(values[1]).alias("price"),
+        values[9].alias("len"),
+        r6(values[10]).alias("mean_quantity"),
+    )
+
+
+@query(f"""
+select b.case_id, "WEEK_NUM", {sql_r6("o_totalprice::float::double")} as o_totalprice, len::double as len,
+       {sql_r6("mean_l_quantity::float::double")} as mean_l_quantity
+from ({SQL_BASE}) b left join ({SQL_ITEM_AGG}) a on a.case_id = b.case_id
+""")
+def preprocess_scoring_table(spark, sf):
+    """The test split of the job, aligned to the training columns."""
+    result = build_mart(spark, write_sources(spark, sf), scratch_path(spark, "mart"), TABLES)
+    return result.test.select(
+        F.col("case_id").cast("bigint"),
+        F.col("WEEK_NUM").cast("int"),
+        r6(F.col("o_totalprice").cast("double")).alias("o_totalprice"),
+        F.col("len").cast("double").alias("len"),
+        r6(F.col("mean_l_quantity").cast("double")).alias("mean_l_quantity"),
+    )
 

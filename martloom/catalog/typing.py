@@ -59,9 +59,10 @@ def _sql_type(column: str, pandas: bool = False, source: str = SQL_ITEMS) -> str
     half = f"when min({c}) >= -65504 and max({c}) <= 65504 then 'float16'" if pandas else ""
     return f"""select '{column}' as "column", case
       when count({column}) = 0 then '{small}'
-      when {whole} and min({c}) >= 0 then case when max({c}) <= 255 then 'uint8' when max({c}) <= 65535 then 'uint16'
+      when {whole} and min({c}) >= 0 and max({c}) < 18446744073709551616 then case when max({c}) <= 255 then 'uint8' when max({c}) <= 65535 then 'uint16'
         when max({c}) <= 4294967295 then 'uint32' else 'uint64' end
-      when {whole} then case when min({c}) >= -128 and max({c}) <= 127 then 'int8'
+      when {whole} and min({c}) < 0 and min({c}) >= -9223372036854775808 and max({c}) < 9223372036854775808
+        then case when min({c}) >= -128 and max({c}) <= 127 then 'int8'
         when min({c}) >= -32768 and max({c}) <= 32767 then 'int16'
         when min({c}) >= -2147483648 and max({c}) <= 2147483647 then 'int32' else 'int64' end
       {half}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # What a date text looks like, searched anywhere in the value.
 DATE_PATTERN = r"\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4}"
-# Parse formats, tried in this order.
+# The layouts a detected date may have.
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy")
 
 # Feature suffix -> expression over a date column. ISO weekday: Monday is 1.
@@ -23,6 +23,22 @@ def looks_like_date(c: Column) -> Column:
     return c.rlike(DATE_PATTERN)
 
 
+def has_format(c: Column, form: str) -> Column:
+    """Whether the value is laid out as `form`, told by its length and first separator.
+
+    No two of the formats share a layout, and a test costs no exception as a failed
+    parse does.
+    """
+    at = next(i for i, ch in enumerate(form) if ch in "-/")
+    return (F.length(c) == len(form)) & (F.substring(c, at + 1, 1) == form[at])
+
+
+def parse_as(c: Column, form: str) -> Column:
+    """The date of a value laid out as `form`; null when it is none."""
+    year, month, day = (F.substring(c, form.index(p) + 1, len(p)) for p in ("yyyy", "MM", "dd"))
+    return F.concat_ws("-", year, month, day).try_cast("date")
+
+
 def parse_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """First format that parses; null when none does."""
-    return F.coalesce(*[F.try_to_date(c, f) for f in formats])
+    """The date in whichever format the value is laid out; null when none fits."""
+    return F.coalesce(*[F.when(has_format(c, f), parse_as(c, f)) for f in formats])

@@ -15,7 +15,7 @@ from martloom.operators.plan import DropColumns, Identity, Plan
 from martloom.operators.profile import profile
 
 # Up to this many columns the pairs are plain aggregates; beyond, moment matrices.
-SQL_COLUMNS = 8
+SQL_COLUMNS = 3
 
 MOMENTS = "i int, j int, n double, sx double, sy double, sxy double, sxx double, syy double"
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martloom.functions.values import col
-from martloom.operators.metrics import EPSILON, auc
+from martloom.operators.metrics import EPSILON, auc, fit_score_ranges
 
 Weights = tuple[float, ...]
 
@@ -79,7 +79,8 @@ def gini_of_weights(df: DataFrame, target: str, models: list[str], trials: list[
         ]
     )
     spread = df.select(col(target).alias("y"), F.inline(scores))
-    table = auc(spread, "y", "score", ("rank_id",))
+    ranges = fit_score_ranges(spread, "score", df.count() * len(chosen))
+    table = auc(spread, "y", "score", ("rank_id",), ranges)
     pairs = df.sparkSession.createDataFrame(links, "trial int, rank_id int, sign double")
     return table.join(F.broadcast(pairs), "rank_id").select(
         "trial", (F.col("sign") * (2 * F.col("auc") - 1)).alias("gini")

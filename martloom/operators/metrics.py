@@ -81,10 +81,9 @@ def metrics_table(df: DataFrame, truth: str, prediction: str, set_column: str) -
 
 # -- ranking ------------------------------------------------------------------
 
-# Score ranges a large table is ranked in.
-SCORE_RANGES = 512
-# Rows per range at which splitting starts to pay.
-RANGE_ROWS = 200_000
+# Most score ranges a table is ranked in, and rows per range.
+SCORE_RANGES = 4096
+RANGE_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -100,14 +99,15 @@ class ScoreRanges:
         return Bucketizer(splits=splits, inputCol=score, outputCol=name).transform(df)
 
 
-def fit_score_ranges(df: DataFrame, score: str) -> ScoreRanges:
+def fit_score_ranges(df: DataFrame, score: str, n_rows: int | None = None) -> ScoreRanges:
     """Quantile bounds for tables that one sort should not hold; none for smaller ones."""
-    n = df.count()
-    ranges = min(SCORE_RANGES, n // RANGE_ROWS)
+    n_rows = df.count() if n_rows is None else n_rows
+    ranges = min(SCORE_RANGES, n_rows // RANGE_ROWS)
     if ranges < 2:
         return ScoreRanges(())
     at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    found = df.agg(F.percentile_approx(col(score).cast("double"), at, 10000).alias("q")).first()["q"]
+    accuracy = max(10_000, 10 * ranges)
+    found = df.agg(F.percentile_approx(col(score).cast("double"), at, accuracy).alias("q")).first()["q"]
     return ScoreRanges(tuple(sorted(set(found))))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martloom.functions.dates import DATE_FORMATS, parse_date
+from martloom.functions.dates import DATE_FORMATS, has_format, parse_date
 from martloom.functions.values import col, is_numeric, present
 from martloom.operators.plan import Identity, Plan
 from martloom.operators.profile import ColumnStats, Profile, integral, profile
@@ -105,9 +105,8 @@ def _date_formats(df: DataFrame, names: list[str]) -> dict[str, tuple[str, ...]]
     aggs = []
     for i, name in enumerate(names):
         c = col(name)
-        first = F.coalesce(*[F.when(F.try_to_date(c, f).isNotNull(), F.lit(k)) for k, f in enumerate(DATE_FORMATS)])
-        aggs += [F.count_if(first == k).alias(f"c{i}_{k}") for k in range(len(DATE_FORMATS))]
-        aggs.append(F.count_if(c.isNotNull() & first.isNull()).alias(f"c{i}_bad"))
+        aggs += [F.count_if(has_format(c, f)).alias(f"c{i}_{k}") for k, f in enumerate(DATE_FORMATS)]
+        aggs.append(F.count_if(c.isNotNull() & parse_date(c).isNull()).alias(f"c{i}_bad"))
     row = df.agg(*aggs).first()
     bad = {name: row[f"c{i}_bad"] for i, name in enumerate(names) if row[f"c{i}_bad"]}
     if bad:

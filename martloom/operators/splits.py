@@ -20,7 +20,7 @@ from martloom.functions.hashing import HASH_BITS, order_hash
 from martloom.functions.values import col
 from martloom.session import bounded_side
 
-BUCKET_BITS = 16
+BUCKET_BITS = 14
 SEED = 42  # fixed value
 
 
@@ -80,7 +80,7 @@ def fit_cuts(
     ).withColumn("b", F.shiftright("h", HASH_BITS - BUCKET_BITS))
     in_order = W.partitionBy(*names).orderBy("b") if names else W.orderBy("b")
     whole = W.partitionBy(*names) if names else W.partitionBy()
-    # At most 2^16 rows per stratum reach these windows.
+    # At most 2^14 rows per stratum reach these windows.
     counts = (
         rows.groupBy(*names, "b")
         .agg(F.count(F.lit(1)).alias("n"))

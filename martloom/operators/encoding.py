@@ -51,19 +51,16 @@ def fit_one_hot(
     """Learn the values of each column. More than `limit` values is an error, not a cut."""
     if not columns:
         return OneHotPlan((), null_label, as_boolean)
-    nulls = df.agg(*[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    values = distinct_values(df, columns, limit + 1)
-    wide = [c for c in columns if values[c] is None]
+    found = distinct_values(df, columns, limit + 1)
+    wide = [c for c in columns if found[c].values is None]
     if wide:
         raise ValueError(f"more than {limit} values in {wide}: drop or label-encode these columns")
-    names = [f"{c}_{v}" for c in columns for v in values[c]]
+    names = [f"{c}_{v}" for c in columns for v in found[c].values]
     if df.sparkSession.conf.get("spark.sql.caseSensitive") != "true":
         names = [n.lower() for n in names]
     if len(set(names)) < len(names):
         raise ValueError("one-hot column names clash; set spark.sql.caseSensitive to true")
-    return OneHotPlan(
-        tuple((c, tuple(values[c]), nulls[f"n{i}"] > 0) for i, c in enumerate(columns)), null_label, as_boolean
-    )
+    return OneHotPlan(tuple((c, tuple(d.values), d.n_null > 0) for c, d in found.items()), null_label, as_boolean)
 
 
 @dataclass(frozen=True)

@@ -69,11 +69,8 @@ class DropHighCardinality:
         ]
         if not names:
             return DropColumns(())
-        p = profile(df, names, want=("nulls",))
-        if not p.n_rows:
-            return Identity()
-        values = distinct_values(df, names, self.threshold)
-        wide = [c for c in names if values[c] is None or len(values[c]) + (p[c].n_null > 0) >= self.threshold]
+        found = distinct_values(df, names, self.threshold)
+        wide = [c for c, d in found.items() if d.values is None or len(d.values) + (d.n_null > 0) >= self.threshold]
         return DropColumns(tuple(wide))
 
 

@@ -6,10 +6,9 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martloom.functions.dates import DATE_FORMATS, has_format, parse_date
+from martloom.functions.dates import DATE_FORMATS, parse_date
 from martloom.functions.values import col, is_numeric, present
 from martloom.operators.plan import Identity, Plan
 from martloom.operators.profile import ColumnStats, Profile, integral, profile
@@ -100,21 +99,9 @@ def number_type(s: ColumnStats, flavour: str = "polars") -> tuple[str, T.DataTyp
     return _fits(floats, float(low), float(high)) or ("float64", T.DoubleType())
 
 
-def _date_formats(df: DataFrame, names: list[str]) -> dict[str, tuple[str, ...]]:
-    """Formats that occur in each detected date column; unparsed values are an error."""
-    aggs = []
-    for i, name in enumerate(names):
-        c = col(name)
-        aggs += [F.count_if(has_format(c, f)).alias(f"c{i}_{k}") for k, f in enumerate(DATE_FORMATS)]
-        aggs.append(F.count_if(c.isNotNull() & parse_date(c).isNull()).alias(f"c{i}_bad"))
-    row = df.agg(*aggs).first()
-    bad = {name: row[f"c{i}_bad"] for i, name in enumerate(names) if row[f"c{i}_bad"]}
-    if bad:
-        raise ValueError(f"date columns with values no format parses: {bad}")
-    return {
-        name: tuple(f for k, f in enumerate(DATE_FORMATS) if row[f"c{i}_{k}"]) or DATE_FORMATS[:1]
-        for i, name in enumerate(names)
-    }
+def _date_formats(s: ColumnStats) -> tuple[str, ...]:
+    """Formats that occur in a detected date column."""
+    return tuple(f for f, n in zip(DATE_FORMATS, s.n_formats) if n) or DATE_FORMATS[:1]
 
 
 def fit_narrowing(
@@ -141,15 +128,17 @@ def fit_narrowing(
     if stats.n_rows == 0:
         return Identity()
     dates = [n for n in texts_and_numbers if stats[n].n_not_date == 0]
-    formats = _date_formats(df, dates) if dates else {}
+    unparsed = {n: stats[n].n_unparsed for n in dates if stats[n].n_unparsed}
+    if unparsed:
+        raise ValueError(f"date columns with values no format parses: {unparsed}")
     out = []
     for f in chosen:
         s = stats.columns.get(f.name)
         if s is None:
             continue
-        if f.name in formats:
+        if f.name in dates:
             day = ("datetime64", T.TimestampNTZType()) if flavour == "pandas" else ("date", T.DateType())
-            out.append(Narrowing(f.name, *day, formats=formats[f.name]))
+            out.append(Narrowing(f.name, *day, formats=_date_formats(s)))
         elif isinstance(f.dataType, T.StringType):
             out.append(Narrowing(f.name, "category" if flavour == "pandas" else "categorical", f.dataType))
         else:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martloom.functions.dates import looks_like_date
+from martloom.functions.dates import DATE_FORMATS, has_format, looks_like_date, parse_date
 from martloom.functions.values import FLOATING, INTEGRAL, col, is_numeric, present
 
 # Columns per aggregation job: very wide aggregates drop out of code generation.
@@ -33,6 +33,8 @@ class ColumnStats:
     max: object = None
     n_fraction: int | None = None
     n_not_date: int | None = None
+    n_unparsed: int | None = None
+    n_formats: tuple[int, ...] = ()
     n_bytes: int | None = None
 
     @property
@@ -70,6 +72,8 @@ def _expressions(f: T.StructField, want: frozenset[str]) -> dict[str, Column]:
         out["n_fraction"] = F.count_if(d != F.rint(d))
     if "dates" in want and isinstance(t, T.StringType):
         out["n_not_date"] = F.count_if(~looks_like_date(c))
+        out["n_formats"] = F.array(*[F.count_if(has_format(c, form)) for form in DATE_FORMATS])
+        out["n_unparsed"] = F.count_if(c.isNotNull() & parse_date(c).isNull())
     if "bytes" in want and isinstance(t, T.StringType):
         out["n_bytes"] = F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
     return out
@@ -95,6 +99,7 @@ def profile(
         n_rows = row["n"]
         for i, f in enumerate(batch):
             stats = {k: row[f"s{j}_{k}"] for (j, k) in exprs if j == i}
+            stats["n_formats"] = tuple(stats.get("n_formats", ()))
             found[f.name] = ColumnStats(f.name, f.dataType, n_rows, **stats)
     return Profile(n_rows, found)
 
@@ -141,15 +146,26 @@ def proves_at_least(estimate: int, n: int) -> bool:
     return estimate > HLL_REGISTERS * math.log(HLL_REGISTERS / (HLL_REGISTERS - n + 1)) + 1
 
 
-def distinct_values(df: DataFrame, columns: list[str], at_least: int) -> dict[str, list | None]:
-    """Sorted distinct non-null values per column, or None for one with `at_least` or more.
+@dataclass(frozen=True)
+class Distinct:
+    """Sorted distinct non-null values, None where there are too many, and the null count."""
+
+    values: list | None
+    n_null: int
+
+
+def distinct_values(df: DataFrame, columns: list[str], at_least: int) -> dict[str, Distinct]:
+    """Distinct values per column, not listed for a column with `at_least` or more.
 
     A sketch pass first settles the columns that are certainly too wide, so the second
     pass gathers only sets of about `at_least` values.
     """
     if not columns:
         return {}
-    row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    aggs = []
+    for i, c in enumerate(columns):
+        aggs += [F.approx_count_distinct(col(c)).alias(f"d{i}"), F.count_if(col(c).isNull()).alias(f"n{i}")]
+    row = df.agg(*aggs).first()
     if at_least <= HLL_LINEAR_LIMIT:
         narrow = [c for i, c in enumerate(columns) if not proves_at_least(row[f"d{i}"], at_least)]
     else:
@@ -158,12 +174,13 @@ def distinct_values(df: DataFrame, columns: list[str], at_least: int) -> dict[st
         exact = df.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(unsure)]).first() if unsure else {}
         wide = {c for i, c in enumerate(unsure) if exact[f"d{i}"] >= at_least}
         narrow = [c for c in columns if c not in wide]
-    out: dict[str, list | None] = dict.fromkeys(columns)
+    out = {c: Distinct(None, row[f"n{i}"]) for i, c in enumerate(columns)}
     if narrow:
         sets = df.agg(*[F.collect_set(col(c)).alias(f"v{i}") for i, c in enumerate(narrow)]).first()
         for i, c in enumerate(narrow):
             values = sets[f"v{i}"]
-            out[c] = sorted(values) if len(values) < at_least else None
+            if len(values) < at_least:
+                out[c] = Distinct(sorted(values), out[c].n_null)
     return out
 
 

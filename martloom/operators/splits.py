@@ -45,7 +45,8 @@ class CutPlan:
             if self.literal is not None:
                 ch, ck = (F.lit(v) for v in self.literal[i])
             else:
-                ch, ck = F.col("__hashes")[i], F.col("__keys")[i]
+                # A stratum without any cut has no row here: all its rows lie beyond.
+                ch, ck = F.coalesce(F.col("__hashes")[i], F.lit(-1)), F.col("__keys")[i]
             total = total + F.when((h > ch) | ((h == ch) & (k > ck)), 1).otherwise(0)
         return total
 

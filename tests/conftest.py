@@ -15,6 +15,7 @@ def make_session():
         "local[8]",
         spark__sql__shuffle__partitions=8,
         spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
         spark__driver__memory="8g",
         spark__checkpoint__dir=tempfile.mkdtemp(prefix="run-"),
         spark__sql__caseSensitive="false",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,6 +237,7 @@ def chain_step3(spark, sf):
     return out.withColumns({c: r6(c) for c in ("o_custkey", "o_totalprice")})
 
 
+CLEANED = ("id", "l_linenumber", "l_quantity", "l_discount")
 CLEANING = CleaningConfig(
     remove_rows=(RowRule(("l_quantity", "l_discount"), lambda c: c > 45),),
     remove_columns=(ColumnRule(lambda s: s.min is not None and s.min == s.max),),
@@ -267,6 +270,21 @@ def clean_rows(spark, sf):
     )
 
 
+@query(f"""
+with kept as (select l_orderkey as id, l_linenumber, l_quantity, l_returnflag as flag,
+                case when l_discount::float > 0.08::float then 0.08::float else l_discount::float end as l_discount
+              from lineitem where l_quantity <= 45),
+  stats as (select {", ".join(f"avg({c}::double) as m_{c}, stddev_pop({c}::double) as s_{c}" for c in CLEANED)} from kept)
+select {", ".join(f"(round((({c}::double - m_{c}) / s_{c})::float::double, 4) + 0.0) as {c}" for c in CLEANED)}, flag
+from kept, stats
+""")
+def clean_job_numeric(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
+    config = replace(CLEANING, encode=False, rename={"l_orderkey": "id", "l_returnflag": "flag"})
+    out = clean(df, config).table
+    return out.select(*[F.round(F.col(c).cast("double"), 4).alias(c) for c in CLEANED], "flag")
+
+
 @query()
 def clean_job(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")

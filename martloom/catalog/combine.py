@@ -144,7 +144,7 @@ def feature_mart(spark, sf):
     )
 
 
-def write_sources(spark, sf):
+def write_sources(spark, sf, splits=("train",)):
     """The driver tables laid out as the source files of a mart."""
     root = scratch_path(spark, "sources")
     items = table(spark, sf, "lineitem").select(
@@ -157,7 +157,7 @@ def write_sources(spark, sf):
     items = items.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
     orders = base(spark, sf).withColumn("date_decision", F.date_format("date_decision", "yyyy-MM-dd"))
     static = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), "o_orderpriority", "o_totalprice")
-    for split in ("train", "test"):
+    for split in splits:
         snapshot(orders, f"{root}/{split}", f"{split}_base.parquet")
         snapshot(static.where("o_totalprice < 200000"), f"{root}/{split}", f"{split}_static_0_0.parquet")
         snapshot(static.where("o_totalprice >= 200000"), f"{root}/{split}", f"{split}_static_0_1.parquet")
@@ -202,7 +202,8 @@ from ({SQL_BASE}) b left join ({SQL_ITEM_AGG}) a on a.case_id = b.case_id
 """)
 def preprocess_scoring_table(spark, sf):
     """The test split of the job, aligned to the training columns."""
-    result = build_mart(spark, write_sources(spark, sf), scratch_path(spark, "mart"), TABLES)
+    root = write_sources(spark, sf, ("train", "test"))
+    result = build_mart(spark, root, scratch_path(spark, "mart"), TABLES)
     return result.test.select(
         F.col("case_id").cast("bigint"),
         F.col("WEEK_NUM").cast("int"),

@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from martloom.catalog.common import query, r6, sql_auc, sql_order, sql_r6, table
-from martloom.learning.jobs import batch_score, predictions, select_model, train_and_evaluate
+from martloom.learning.jobs import batch_score, predictions, select_model, train_and_evaluate, train_from
 from martloom.learning.registry import make
 from martloom.learning.tuning import SearchSpace, tune
 from martloom.learning.validation import cross_validate, leaderboard, temporal_validate
@@ -17,6 +17,7 @@ from martloom.operators.splits import ratio_split
 from martloom.plans.mart import assemble
 from martloom.session import scratch_path
 from martloom.sources.runs import append_runs, read_runs
+from martloom.sources.tables import snapshot
 
 
 def _events(spark, sf):
@@ -112,8 +113,8 @@ def temporal_stability(spark, sf):
 
 @query()
 def train_evaluate(spark, sf):
-    rows = _events(spark, sf).select("key", *FEATURES, "y")
-    return train_and_evaluate(rows, "LGBMClassifier", "6:2:2", "key", maxIter=5).metrics
+    path = snapshot(_events(spark, sf).select("key", *FEATURES, "y"), scratch_path(spark, "train"), "events")
+    return train_from(spark, path, "LGBMClassifier", "6:2:2", "key", maxIter=5).metrics
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.functions.values import col
-from martloom.learning.registry import baseline, make
+from martloom.learning.registry import BOOSTED, baseline, make
 from martloom.learning.tuning import SearchSpace, Tuning, tune
 from martloom.learning.validation import score_column
 from martloom.operators.ensemble import Search, search_weights, weighted_mean, weighted_sum
@@ -29,6 +29,13 @@ class Trained:
     metrics: DataFrame
 
 
+def fit_with_validation(name: str, task: str, label: str, rows: DataFrame, params: dict) -> Model:
+    """Fit on the rows not held out; boosted families watch the held rows to stop early."""
+    if name in BOOSTED:
+        return make(name, task, label, validation="held", **params).fit(rows)
+    return make(name, task, label, **params).fit(rows.where("not held"))
+
+
 def train_and_evaluate(
     df: DataFrame, name: str, ratio: str, key: str, label: str = "y", features: list[str] | None = None, **params
 ) -> Trained:
@@ -40,10 +47,9 @@ def train_and_evaluate(
     features = features or [c for c in df.columns if c not in (label, key)]
     sets = assemble(ratio_split(df, ratio, key), features, (key, label, "split"))
     sets = sets.withColumn("held", F.col("split") == "valid").withColumn(label, F.col(label).cast("double"))
-    fitting = sets.where("split <> 'test'")
     binary = sets.agg(F.max(label)).first()[0] <= 1
     kind = name if binary else "random_forest"
-    model = make(kind, label=label, validation="held", **params).fit(fitting)
+    model = fit_with_validation(kind, "binary_classification", label, sets.where("split <> 'test'"), params)
     plain = baseline(label).fit(sets.where("split = 'train'"))
     seen = model.transform(sets.where("split <> 'valid'")).select(F.col("split").alias("set"), label, "prediction")
     other = plain.transform(sets.where("split = 'test'")).select(F.lit("baseline").alias("set"), label, "prediction")
@@ -114,7 +120,7 @@ def select_model(
     sample = ladder_sample(train, rung, label, key, n_features) if task == "binary_classification" else train
     tuned = {n: tune(sample, n, s, label, key, n_trials, task, k=k, run_log=run_log) for n, s in spaces.items()}
     rows = train.withColumn("held", F.lit(False)).unionByName(valid.withColumn("held", F.lit(True)))
-    models = {n: make(n, task, label, validation="held", **t.best_params).fit(rows) for n, t in tuned.items()}
+    models = {n: fit_with_validation(n, task, label, rows, t.best_params) for n, t in tuned.items()}
     scored = predictions(models, valid, key).join(valid.select(col(key), col(label)), key)
     weights = search_weights(scored, label, list(models), task, max_trials=max_ensemble_trials)
     pick: Callable = max if direction == "max" else min

@@ -8,13 +8,11 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from martloom.learning.registry import make
-from martloom.learning.validation import N_FOLDS, PARALLEL
-from martloom.operators.splits import folds, stratified_folds
+from martloom.learning.validation import N_FOLDS, PARALLEL, score_trials, write_folds
 from martloom.sources.runs import append_runs
 
 # Fixed value: trials without gain before tuning stops.
@@ -97,46 +95,33 @@ def tune(
     run_log: str | None = None,
     features: str = "features",
 ) -> Tuning:
-    """Score trials by mean Gini (or negated percentage-free error) until a stop rule holds.
+    """Score trials by a mean fold score, higher being better, until a stop rule holds.
 
-    Each batch is one cross-validation over a parameter list. Between batches the time
-    limit and the number of trials without gain are checked.
+    The score is the Gini, or the negated percentage error for regression. All trials
+    share one set of folds; a batch of them is scored by one job. Between batches the
+    time limit and the number of trials without gain are checked.
     """
-    estimator = make(name, task, label, features)
-    folded = stratified_folds(df, label, k, key, seed) if task == "binary_classification" else folds(df, k, key, seed)
-    classify = task == "binary_classification"
-    evaluator = (
-        BinaryClassificationEvaluator(labelCol=label, numBins=0)
-        if classify
-        else RegressionEvaluator(labelCol=label, metricName="mae")
-    )
-    metric = "gini_score" if classify else "neg_mean_absolute_error"
+    metric = "gini_score" if task == "binary_classification" else "neg_mean_absolute_percentage_error"
+    folded = write_folds(df, label, key, task, k, seed)
     began, rows, best = time.time(), [], None
     queue = list(space.trials(n_trials, seed))
     for start in range(0, len(queue), PARALLEL):
         if time.time() - began > 3600 * timeout_hours or (best and start - best[0] > patience):
             break
-        batch = queue[start : start + PARALLEL]
-        maps = [ParamGridBuilder().baseOn({estimator.getParam(p): v for p, v in t.items()}).build()[0] for t in batch]
-        clock = time.time()
-        fitted = CrossValidator(
-            estimator=estimator,
-            estimatorParamMaps=maps,
-            evaluator=evaluator,
-            numFolds=k,
-            foldCol="fold",
-            parallelism=PARALLEL,
-        ).fit(folded)
+        batch, clock = queue[start : start + PARALLEL], time.time()
+        estimators = [make(name, task, label, features, **params) for params in batch]
+        found = score_trials(folded, estimators, label, task, k).where(F.col("metric") == metric).collect()
+        values = {r["trial"]: r["score"] for r in found}
         seconds = (time.time() - clock) / len(batch)
-        for i, (params, value) in enumerate(zip(batch, fitted.avgMetrics)):
-            score = 2 * value - 1 if classify else -value
-            rows.append((start + i, name, json.dumps(params, sort_keys=True), float(score), float(seconds)))
-            if best is None or score > best[1]:
+        for i, params in enumerate(batch):
+            score = values.get(i)
+            rows.append((start + i, name, json.dumps(params, sort_keys=True), score, seconds))
+            if score is not None and (best is None or score > best[1]):
                 best = (start + i, score, params)
+    if best is None:
+        raise ValueError("no trial could be scored")
     schema = f"trial_id int, model string, params string, `metrics.{metric}` double, `metrics.time_in_seconds` double"
     trials = df.sparkSession.createDataFrame(rows, schema)
     if run_log:
         append_runs(trials, run_log)
-    if best is None:
-        raise ValueError("no trial was run")
     return Tuning(best[2], best[1], trials)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,8 @@ from martloom.operators.metrics import (
     stability,
     with_gini,
 )
-from martloom.operators.splits import folds, stratified_folds
+from martloom.operators.splits import SEED, folds, stratified_folds
+from martloom.session import cut
 
 N_FOLDS = 5  # fixed value
 # Models trained side by side; each is itself a distributed job.
@@ -43,15 +44,23 @@ def in_parallel(spark, function: Callable, items: list, workers: int = PARALLEL)
         return list(pool.map(inheritable_thread_target(spark)(function), items))
 
 
-def out_of_fold(df: DataFrame, estimator: Estimator, fold: str, keep: list[str], n_folds: int) -> DataFrame:
-    """Every row scored by the model that did not see its fold."""
+def write_folds(df: DataFrame, label: str, key: str, task: str, k: int, seed: int = SEED) -> DataFrame:
+    """The table with its fold column, written by fold: a fit scans only its own folds."""
+    folded = stratified_folds(df, label, k, key, seed) if task == "binary_classification" else folds(df, k, key, seed)
+    return cut(folded, "folds", ("fold",))
 
-    def one(i: int) -> DataFrame:
-        model = estimator.fit(df.where(col(fold) != i))
-        scored = model.transform(df.where(col(fold) == i))
-        return scored.select(*[col(c) for c in keep], col(fold), score_column(scored).alias("score"))
 
-    return reduce(DataFrame.unionByName, in_parallel(df.sparkSession, one, list(range(n_folds))))
+def out_of_fold(folded: DataFrame, estimators: list[Estimator], label: str, k: int) -> DataFrame:
+    """(trial, fold, label, score): every row scored by models that did not see its fold."""
+
+    def one(job: tuple[int, int]) -> DataFrame:
+        trial, i = job
+        model = estimators[trial].fit(folded.where(F.col("fold") != i))
+        scored = model.transform(folded.where(F.col("fold") == i))
+        return scored.select(F.lit(trial).alias("trial"), "fold", col(label), score_column(scored).alias("score"))
+
+    jobs = [(t, i) for t in range(len(estimators)) for i in range(k)]
+    return reduce(DataFrame.unionByName, in_parallel(folded.sparkSession, one, jobs))
 
 
 def classification_scores(scored: DataFrame, label: str, by: tuple[str, ...]) -> DataFrame:
@@ -70,23 +79,33 @@ def regression_scores(scored: DataFrame, label: str, by: tuple[str, ...]) -> Dat
     return table.select(*by, F.inline(pairs))
 
 
-SCORERS = {"binary_classification": classification_scores, "regression": regression_scores}
+# Task -> table of (by, metric, score) from scored rows. A caller may pass a function of
+# the same shape with scores of their own.
+Scorer = Callable[[DataFrame, str, tuple[str, ...]], DataFrame]
+SCORERS: dict[str, Scorer] = {"binary_classification": classification_scores, "regression": regression_scores}
+
+
+def score_trials(
+    folded: DataFrame, estimators: list[Estimator], label: str, task: str, k: int, scorer: Scorer | None = None
+) -> DataFrame:
+    """(trial, metric, score): fold scores of each estimator averaged over the folds."""
+    scored = out_of_fold(folded, estimators, label, k)
+    rows = (scorer or SCORERS[task])(scored, label, ("trial", "fold"))
+    return mean_scores(rows, ("trial", "metric"))
 
 
 def cross_validate(
-    df: DataFrame, estimator: Estimator, label: str, key: str, task: str = "binary_classification", k: int = N_FOLDS
+    df: DataFrame,
+    estimator: Estimator,
+    label: str,
+    key: str,
+    task: str = "binary_classification",
+    k: int = N_FOLDS,
+    scorer: Scorer | None = None,
 ) -> DataFrame:
     """(metric, score): mean over folds; folds are stratified by label for classification."""
-    folded = stratified_folds(df, label, k, key) if task == "binary_classification" else folds(df, k, key)
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        scored = out_of_fold(folded, estimator, "fold", [label], k)
-        rows = SCORERS[task](scored, label, ("fold",))
-        # A handful of (metric, score) rows, fixed here so that the fold table can go.
-        means = mean_scores(rows, ("metric",)).collect()
-    finally:
-        folded.unpersist()
-    return df.sparkSession.createDataFrame(means, "metric string, score double")
+    folded = write_folds(df, label, key, task, k)
+    return score_trials(folded, [estimator], label, task, k, scorer).drop("trial")
 
 
 def temporal_validate(
@@ -99,30 +118,33 @@ def temporal_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """(gini per step, stability): each period from the second on is scored by a model
     trained on all periods before it. `hard` scores by predicted class."""
-    data = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        periods = [r[0] for r in data.select(col(period)).distinct().orderBy(period).collect()]
+    data = cut(df, "periods")
+    periods = [r[0] for r in data.select(col(period)).distinct().orderBy(col(period)).collect()]
 
-        def step(week) -> DataFrame:
-            model = estimator.fit(data.where(col(period) < F.lit(week)))
-            scored = model.transform(data.where(col(period) == F.lit(week)))
-            value = F.col("prediction") if hard else score_column(scored)
-            return scored.select(col(label), col(period).alias("period"), value.alias("score"))
+    def step(week) -> DataFrame:
+        model = estimator.fit(data.where(col(period) < F.lit(week)))
+        scored = model.transform(data.where(col(period) == F.lit(week)))
+        value = F.col("prediction") if hard else score_column(scored)
+        return scored.select(col(label), col(period).alias("period"), value.alias("score"))
 
-        scored = reduce(DataFrame.unionByName, in_parallel(df.sparkSession, step, periods[1:]))
-        steps = with_gini(auc(scored, label, "score", ("period",))).select("period", "gini").collect()
-    finally:
-        data.unpersist()
-    table = df.sparkSession.createDataFrame(steps, f"period {df.schema[period].dataType.simpleString()}, gini double")
-    return table, stability(table, "period", "gini", weights)
+    scored = reduce(DataFrame.unionByName, in_parallel(df.sparkSession, step, periods[1:]))
+    # One row per period, read twice: by the caller and by the stability.
+    steps = cut(with_gini(auc(scored, label, "score", ("period",))).select("period", "gini"), "steps")
+    return steps, stability(steps, "period", "gini", weights)
 
 
 def leaderboard(
-    df: DataFrame, models: dict[str, Estimator], label: str, key: str, task: str = "binary_classification", k: int = N_FOLDS
+    df: DataFrame,
+    models: dict[str, Estimator],
+    label: str,
+    key: str,
+    task: str = "binary_classification",
+    k: int = N_FOLDS,
+    scorer: Scorer | None = None,
 ) -> DataFrame:
-    """One row per model with its mean score per metric."""
-    tables = [
-        cross_validate(df, est, label, key, task, k).select(F.lit(name).alias("model"), "metric", "score")
-        for name, est in models.items()
-    ]
-    return reduce(DataFrame.unionByName, tables).groupBy("model").pivot("metric").agg(F.first("score"))
+    """One row per model with its mean score per metric; all models share one set of folds."""
+    folded = write_folds(df, label, key, task, k)
+    scores = score_trials(folded, list(models.values()), label, task, k, scorer)
+    names = F.array(*[F.lit(n) for n in models])
+    named = scores.select(names[F.col("trial")].alias("model"), "metric", "score")
+    return named.groupBy("model").pivot("metric").agg(F.first("score"))

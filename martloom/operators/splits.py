@@ -71,7 +71,8 @@ def fit_cuts(
     """Learn the cuts at the given cumulative row counts.
 
     `targets` maps a stratum's row count to the counts after which each piece ends, the
-    last piece left out. `key` has to be unique within a stratum.
+    last piece left out. Rows of one key stay together, so the counts are exact where the
+    key is unique within a stratum, and else met up to the rows of the key at the cut.
     """
     names = [f"s_{i}" for i in range(len(strata))]
     rows = df.select(
@@ -92,15 +93,22 @@ def fit_cuts(
     wanted = counts.select("*", F.posexplode(F.array(*[e.cast("bigint") for e in ends])).alias("piece", "target"))
     hit = (F.col("target") > F.col("upto") - F.col("n")) & (F.col("target") <= F.col("upto"))
     edges = wanted.where(hit).select(
-        *names, "b", "piece", (F.col("target") - F.col("upto") + F.col("n")).cast("int").alias("rest")
+        *names, "b", "piece", (F.col("target") - F.col("upto") + F.col("n")).alias("rest")
     )
     edges = bounded_side(edges, "edges")
     on = rows["b"] == edges["b"]
     for n in names:
         on = on & rows[n].eqNullSafe(edges[n])
-    near = rows.join(edges, on).select(*[rows[n] for n in names], "piece", "rest", "h", "k")
-    rank = F.row_number().over(W.partitionBy(*names, "piece").orderBy("h", "k"))
-    found = near.withColumn("rank", rank).where(F.col("rank") == F.col("rest"))
+    # Keys are counted before the window, so a key with many rows is one row in it.
+    near = (
+        rows.join(edges, on)
+        .groupBy(*[rows[n] for n in names], "piece", "rest", "h", "k")
+        .agg(F.count(F.lit(1)).alias("m"))
+    )
+    running = W.partitionBy(*names, "piece").orderBy("h", "k").rowsBetween(W.unboundedPreceding, 0)
+    found = near.withColumn("upto", F.sum("m").over(running)).where(
+        (F.col("rest") > F.col("upto") - F.col("m")) & (F.col("rest") <= F.col("upto"))
+    )
     pieces = len(ends) + 1
     # A piece that ends before the first row has no edge; its cut lies below every hash.
     hashes = [F.coalesce(F.max(F.when(F.col("piece") == i, F.col("h"))), F.lit(-1)) for i in range(pieces - 1)]

@@ -53,15 +53,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Later jobs start from the written table, so neither a lost executor nor a second
-    action repeats the work before the cut, and scans of it are column-pruned.
+    action repeats the work before the cut, and scans of it are pruned to the columns
+    and partitions they need.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[quote(c) for c in df.columns])
+
+
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def bounded_side(df: DataFrame, name: str = "side") -> DataFrame:

@@ -19,10 +19,6 @@ DATE_FEATURES = {
 }
 
 
-def looks_like_date(c: Column) -> Column:
-    return c.rlike(DATE_PATTERN)
-
-
 def has_format(c: Column, form: str) -> Column:
     """Whether the value is laid out as `form`, told by its length and first separator.
 

@@ -29,11 +29,21 @@ def present(name: str, t: T.DataType) -> Column:
     return F.nanvl(col(name), F.lit(None).cast(t)) if isinstance(t, FLOATING) else col(name)
 
 
-def standard(c: Column, mean: float | None, std: float | None) -> Column:
+def present_sql(name: str, t: T.DataType) -> str:
+    """`present` as SQL text, which costs one call however many columns there are."""
+    c = quoted(name)
+    return f"nanvl({c}, cast(null as {t.simpleString()}))" if isinstance(t, FLOATING) else c
+
+
+def _literal(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def standard_sql(c: str, mean: float | None, std: float | None) -> str:
     """(x - mean) / std; a zero std divides by one, a missing mean gives null."""
     if mean is None:
-        return F.lit(None).cast("double")
-    return (c.cast("double") - F.lit(float(mean))) / F.lit(float(std) if std else 1.0)
+        return "cast(null as double)"
+    return f"(cast({c} as double) - {_literal(mean)}) / {_literal(std or 1.0)}"
 
 
 def unstandard(c: Column, mean: float | None, std: float | None) -> Column:

@@ -7,12 +7,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martloom.functions.values import col, is_numeric, present
+from martloom.functions.values import col, is_numeric, present_sql, quoted
 from martloom.operators.narrowing import fit_new_columns
 from martloom.operators.plan import Identity, Plan
 from martloom.session import cut
 
-FUNCTIONS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+FUNCTIONS = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
 
 
 @dataclass(frozen=True)
@@ -25,9 +25,12 @@ class AggregatePlan:
     types: Plan = Identity()
 
     def apply(self, df: DataFrame) -> DataFrame:
+        types = {f.name: f.dataType for f in df.schema.fields}
         aggs = [F.count(F.lit(1)).alias("len")]
         for k in self.stats:
-            aggs += [FUNCTIONS[k](present(c, df.schema[c].dataType)).alias(f"{k}_{c}") for c in self.columns]
+            aggs += [
+                F.expr(f"{FUNCTIONS[k]}({present_sql(c, types[c])}) as {quoted(f'{k}_{c}')}") for c in self.columns
+            ]
         return self.types.apply(df.groupBy(col(self.key)).agg(*aggs))
 
 

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martloom.functions.values import col, is_numeric, present
+from martloom.functions.values import col, is_numeric, present_sql, quoted
 from martloom.operators.plan import DropColumns, Identity, Plan
-from martloom.operators.profile import profile
+from martloom.operators.profile import batched, profile
 
 # Up to this many columns the pairs are plain aggregates; beyond, moment matrices.
 SQL_COLUMNS = 3
@@ -57,7 +57,7 @@ def _moments(means: list[float]):
 
 def _corr_matrix(df: DataFrame, names: list[str]) -> DataFrame:
     spark = df.sparkSession
-    row = df.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    row = batched(df, [[f"avg({quoted(c)}) as m{i}"] for i, c in enumerate(names)])
     means = [row[f"m{i}"] or 0.0 for i in range(len(names))]
     # Every task sends one row per pair, so the task count is held near the core count.
     tasks = df.coalesce(4 * spark.sparkContext.defaultParallelism)
@@ -81,7 +81,8 @@ def _corr_matrix(df: DataFrame, names: list[str]) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str] | None = None, method: str | None = None) -> DataFrame:
     """(col1, col2, corr) for every pair of numeric columns; null where undefined."""
     names = [f.name for f in df.schema.fields if is_numeric(f.dataType) and (columns is None or f.name in columns)]
-    data = df.select(*[present(c, df.schema[c].dataType).cast("double").alias(c) for c in names])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    data = df.selectExpr(*[f"cast({present_sql(c, types[c])} as double) as {quoted(c)}" for c in names])
     method = method or ("sql" if len(names) <= SQL_COLUMNS else "matrix")
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "col1 string, col2 string, corr double")

@@ -104,8 +104,9 @@ class FillPlan:
     values: tuple[tuple[str, float], ...]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        fills = {c: F.coalesce(present(c, df.schema[c].dataType), F.lit(v)) for c, v in self.values if c in df.columns}
-        return df.withColumns(fills)
+        fill = dict(self.values)
+        fields = [f for f in df.schema.fields if f.name in fill]
+        return df.withColumns({f.name: F.coalesce(present(f.name, f.dataType), F.lit(fill[f.name])) for f in fields})
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from martloom.functions.dates import DATE_FORMATS, parse_date
-from martloom.functions.values import col, is_numeric, present
+from martloom.functions.values import col, is_numeric, present_sql, quoted
 from martloom.operators.plan import Identity, Plan
 from martloom.operators.profile import ColumnStats, Profile, integral, profile
 
@@ -164,7 +164,11 @@ class Narrow:
 
 def model_cast(df: DataFrame, features: list[str], label: str | None = None) -> DataFrame:
     """Features to float and the label to smallint, the types the models take."""
-    casts = {c: present(c, df.schema[c].dataType).cast("float") for c in features}
-    if label:
-        casts[label] = col(label).cast("short")
-    return df.withColumns(casts)
+    wanted = set(features)
+
+    def cast(f: T.StructField) -> str:
+        c = present_sql(f.name, f.dataType)
+        to = "float" if f.name in wanted else "smallint" if f.name == label else None
+        return f"cast({c} as {to}) as {quoted(f.name)}" if to else quoted(f.name)
+
+    return df.selectExpr(*[cast(f) for f in df.schema.fields])

@@ -7,6 +7,8 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame
 
+from martloom.functions.values import quoted
+
 
 class Plan(Protocol):
     """Learned once on one table, applied lazily to any table with the same columns."""
@@ -33,4 +35,4 @@ class DropColumns:
     names: tuple[str, ...]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.select(*[f"`{c.replace('`', '``')}`" for c in df.columns if c not in self.names])
+        return df.select(*[quoted(c) for c in df.columns if c not in self.names])

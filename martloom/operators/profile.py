@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martloom.functions.dates import DATE_FORMATS, has_format, looks_like_date, parse_date
-from martloom.functions.values import FLOATING, INTEGRAL, col, is_numeric, present
+from martloom.functions.dates import DATE_FORMATS, DATE_PATTERN
+from martloom.functions.values import FLOATING, INTEGRAL, col, is_numeric, present, present_sql, quoted
 
-# Columns per aggregation job: very wide aggregates drop out of code generation.
-COLUMN_BATCH = 200
+# Columns per aggregation job: generated code for many more is too large to be compiled
+# well. Batches scan only their own columns and run side by side.
+COLUMN_BATCH = 50
+PARALLEL = 4
 
 # approx_count_distinct at its default error keeps 512 registers and counts linearly
 # while few are set, so n values never give more than 512 * ln(512 / (512 - n)).
@@ -55,27 +59,51 @@ class Profile:
         return self.columns[name]
 
 
-def null_count(name: str, t: T.DataType) -> Column:
-    return F.count_if(present(name, t).isNull())
+def batched(df: DataFrame, per_column: list[list[str]]) -> dict[str, object]:
+    """The values of SQL aggregates, given as `... as name` per column, and the row count `n`.
+
+    The table is read once over all batches, each of which scans its own columns.
+    """
+    batches = [per_column[i : i + COLUMN_BATCH] for i in range(0, max(len(per_column), 1), COLUMN_BATCH)]
+
+    def run(batch: list[list[str]]) -> dict[str, object]:
+        return df.selectExpr("count(1) as n", *[e for column in batch for e in column]).first().asDict()
+
+    if len(batches) == 1:
+        return run(batches[0])
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(run), batches)
+        return {k: v for values in found for k, v in values.items()}
+
+
+def _formats_sql(c: str) -> tuple[list[str], str]:
+    """Per date format the test of its layout; and the parsed date, as in `parse_date`."""
+    tests, parses = [], []
+    for f in DATE_FORMATS:
+        at = next(i for i, ch in enumerate(f) if ch in "-/")
+        tests.append(f"length({c}) = {len(f)} and substring({c}, {at + 1}, 1) = '{f[at]}'")
+        parts = [f"substring({c}, {f.index(p) + 1}, {len(p)})" for p in ("yyyy", "MM", "dd")]
+        parses.append(f"when {tests[-1]} then try_cast(concat_ws('-', {', '.join(parts)}) as date)")
+    return tests, f"case {' '.join(parses)} end"
 
 
-def _expressions(f: T.StructField, want: frozenset[str]) -> dict[str, Column]:
-    t, c = f.dataType, present(f.name, f.dataType)
+def _expressions(f: T.StructField, want: frozenset[str]) -> dict[str, str]:
+    t, c = f.dataType, present_sql(f.name, f.dataType)
     out = {}
     if "nulls" in want:
-        out["n_null"] = null_count(f.name, t)
+        out["n_null"] = f"count_if({c} is null)"
     ordered = is_numeric(t) or isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType))
     if "range" in want and ordered or "text_range" in want and isinstance(t, (T.StringType, T.BooleanType)):
-        out["min"], out["max"] = F.min(c), F.max(c)
+        out["min"], out["max"] = f"min({c})", f"max({c})"
     if "fraction" in want and isinstance(t, (*FLOATING, T.DecimalType)):
-        d = c.cast("double")
-        out["n_fraction"] = F.count_if(d != F.rint(d))
+        out["n_fraction"] = f"count_if(cast({c} as double) <> rint({c}))"
     if "dates" in want and isinstance(t, T.StringType):
-        out["n_not_date"] = F.count_if(~looks_like_date(c))
-        out["n_formats"] = F.array(*[F.count_if(has_format(c, form)) for form in DATE_FORMATS])
-        out["n_unparsed"] = F.count_if(c.isNotNull() & parse_date(c).isNull())
+        tests, parsed = _formats_sql(c)
+        out["n_not_date"] = f"count_if(not {c} rlike r'{DATE_PATTERN}')"
+        out["n_formats"] = f"array({', '.join(f'count_if({test})' for test in tests)})"
+        out["n_unparsed"] = f"count_if({c} is not null and {parsed} is null)"
     if "bytes" in want and isinstance(t, T.StringType):
-        out["n_bytes"] = F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+        out["n_bytes"] = f"coalesce(sum(octet_length({c})), 0)"
     return out
 
 
@@ -84,24 +112,20 @@ def profile(
     columns: list[str] | None = None,
     want: tuple[str, ...] = ("nulls", "range", "fraction", "dates"),
 ) -> Profile:
-    """Statistics of the columns in one aggregation per 200 columns.
+    """Statistics of the columns in one pass over the table.
 
-    `want` picks among nulls, range, text_range, fraction, dates and bytes. Every batch
-    scans only its own columns, so the batches together read the table once.
+    `want` picks among nulls, range, text_range, fraction, dates and bytes.
     """
     wanted = frozenset(want) | {"nulls"}
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    n_rows, found = None, {}
-    for start in range(0, max(len(fields), 1), COLUMN_BATCH):
-        batch = fields[start : start + COLUMN_BATCH]
-        exprs = {(i, k): e for i, f in enumerate(batch) for k, e in _expressions(f, wanted).items()}
-        row = df.agg(F.count(F.lit(1)).alias("n"), *[e.alias(f"s{i}_{k}") for (i, k), e in exprs.items()]).first()
-        n_rows = row["n"]
-        for i, f in enumerate(batch):
-            stats = {k: row[f"s{j}_{k}"] for (j, k) in exprs if j == i}
-            stats["n_formats"] = tuple(stats.get("n_formats", ()))
-            found[f.name] = ColumnStats(f.name, f.dataType, n_rows, **stats)
-    return Profile(n_rows, found)
+    exprs = [_expressions(f, wanted) for f in fields]
+    row = batched(df, [[f"{e} as s{i}_{k}" for k, e in x.items()] for i, x in enumerate(exprs)])
+    found = {}
+    for i, f in enumerate(fields):
+        stats = {k: row[f"s{i}_{k}"] for k in exprs[i]}
+        stats["n_formats"] = tuple(stats.get("n_formats", ()))
+        found[f.name] = ColumnStats(f.name, f.dataType, row["n"], **stats)
+    return Profile(row["n"], found)
 
 
 def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -121,7 +145,7 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
         else:
             low = high = F.max(F.lit(None).cast("double"))
         aggs += [
-            null_count(f.name, t).alias(f"n_null_{i}"),
+            F.count_if(c.isNull()).alias(f"n_null_{i}"),
             distinct(c).alias(f"n_distinct_{i}"),
             low.alias(f"min_{i}"),
             high.alias(f"max_{i}"),
@@ -162,10 +186,10 @@ def distinct_values(df: DataFrame, columns: list[str], at_least: int) -> dict[st
     """
     if not columns:
         return {}
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs += [F.approx_count_distinct(col(c)).alias(f"d{i}"), F.count_if(col(c).isNull()).alias(f"n{i}")]
-    row = df.agg(*aggs).first()
+    names = [quoted(c) for c in columns]
+    row = batched(
+        df, [[f"approx_count_distinct({c}) as d{i}", f"count_if({c} is null) as n{i}"] for i, c in enumerate(names)]
+    )
     if at_least <= HLL_LINEAR_LIMIT:
         narrow = [c for i, c in enumerate(columns) if not proves_at_least(row[f"d{i}"], at_least)]
     else:
@@ -176,7 +200,7 @@ def distinct_values(df: DataFrame, columns: list[str], at_least: int) -> dict[st
         narrow = [c for c in columns if c not in wide]
     out = {c: Distinct(None, row[f"n{i}"]) for i, c in enumerate(columns)}
     if narrow:
-        sets = df.agg(*[F.collect_set(col(c)).alias(f"v{i}") for i, c in enumerate(narrow)]).first()
+        sets = batched(df, [[f"collect_set({quoted(c)}) as v{i}"] for i, c in enumerate(narrow)])
         for i, c in enumerate(narrow):
             values = sets[f"v{i}"]
             if len(values) < at_least:

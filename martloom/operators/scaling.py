@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from martloom.functions.values import col, is_numeric, present, standard, unstandard
+from martloom.functions.values import col, is_numeric, present_sql, quoted, standard_sql, unstandard
+from martloom.operators.profile import batched
 
 
 @dataclass(frozen=True)
@@ -18,10 +18,15 @@ class ScalePlan:
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Scale the remembered columns that are still there."""
-        out = {
-            c: standard(present(c, df.schema[c].dataType), mean, std) for c, mean, std in self.stats if c in df.columns
-        }
-        return df.withColumns(out) if out else df
+        known = {c: (mean, std) for c, mean, std in self.stats}
+        return df.selectExpr(
+            *[
+                f"{standard_sql(present_sql(f.name, f.dataType), *known[f.name])} as {quoted(f.name)}"
+                if f.name in known
+                else quoted(f.name)
+                for f in df.schema.fields
+            ]
+        )
 
     def inverse(self, value: Column, column: str) -> Column:
         """Undo the scaling of `column` for a value, such as a prediction of it."""
@@ -42,14 +47,14 @@ class Scale:
 
     def fit(self, df: DataFrame) -> ScalePlan:
         fields = [f for f in df.schema.fields if f.name not in self.ignore and is_numeric(f.dataType)]
-        deviation = F.stddev_samp if self.sample else F.stddev_pop
+        deviation = "stddev_samp" if self.sample else "stddev_pop"
+        if not fields:
+            return ScalePlan(())
         aggs = []
         for i, f in enumerate(fields):
-            c = present(f.name, f.dataType).cast("double")
-            aggs += [F.avg(c).alias(f"m{i}"), deviation(c).alias(f"s{i}")]
-        if not aggs:
-            return ScalePlan(())
-        row = df.agg(*aggs).first()
+            c = f"cast({present_sql(f.name, f.dataType)} as double)"
+            aggs.append([f"avg({c}) as m{i}", f"{deviation}({c}) as s{i}"])
+        row = batched(df, aggs)
         stats = []
         for i, f in enumerate(fields):
             mean, std = row[f"m{i}"], row[f"s{i}"]

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martloom.functions.values import quoted
+
 # Rows of a side that may be broadcast after having been counted on the driver.
 MAX_BROADCAST_ROWS = 10_000
 
@@ -62,11 +64,7 @@ def cut(df: DataFrame, name: str = "cut", partition_by: tuple[str, ...] = ()) ->
     """
     path = scratch_path(df.sparkSession, name)
     (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[quote(c) for c in df.columns])
-
-
-def quote(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[quoted(c) for c in df.columns])
 
 
 def bounded_side(df: DataFrame, name: str = "side") -> DataFrame:

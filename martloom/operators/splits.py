@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from martloom.functions.hashing import HASH_BITS, order_hash
+from martloom.functions.hashing import order_hash, order_text
 from martloom.functions.values import col
-from martloom.session import bounded_side
+from martloom.session import bounded_side, cut
 
-BUCKET_BITS = 14
+BUCKET_DIGITS = 4  # leading hex digits that make a bucket: at most 16^4 per stratum
 SEED = 42  # fixed value
 
 
@@ -36,7 +36,7 @@ class CutPlan:
     seed: int
     strata: tuple[str, ...]
     cuts: DataFrame
-    literal: tuple[tuple[int, object], ...] | None
+    literal: tuple[tuple[str, object], ...] | None
     pieces: int
 
     def _beyond(self, h: Column, k: Column) -> Column:
@@ -46,13 +46,13 @@ class CutPlan:
                 ch, ck = (F.lit(v) for v in self.literal[i])
             else:
                 # A stratum without any cut has no row here: all its rows lie beyond.
-                ch, ck = F.coalesce(F.col("__hashes")[i], F.lit(-1)), F.col("__keys")[i]
+                ch, ck = F.coalesce(F.col("__hashes")[i], F.lit("")), F.col("__keys")[i]
             total = total + F.when((h > ch) | ((h == ch) & (k > ck)), 1).otherwise(0)
         return total
 
     def apply(self, df: DataFrame, name: str = "piece") -> DataFrame:
         """Add the piece number of every row."""
-        h, k = order_hash(col(self.key), self.seed), col(self.key)
+        h, k = order_text(col(self.key), self.seed), col(self.key)
         if self.literal is not None:
             return df.withColumn(name, self._beyond(h, k))
         cuts = self.cuts.withColumnsRenamed({"hashes": "__hashes", "keys": "__keys"})
@@ -78,11 +78,11 @@ def fit_cuts(
     rows = df.select(
         *[col(s).alias(n) for s, n in zip(strata, names)],
         col(key).alias("k"),
-        order_hash(col(key), seed).alias("h"),
-    ).withColumn("b", F.shiftright("h", HASH_BITS - BUCKET_BITS))
+        order_text(col(key), seed).alias("h"),
+    ).withColumn("b", F.substring("h", 1, BUCKET_DIGITS))
     in_order = W.partitionBy(*names).orderBy("b") if names else W.orderBy("b")
     whole = W.partitionBy(*names) if names else W.partitionBy()
-    # At most 2^14 rows per stratum reach these windows.
+    # At most 16^4 rows per stratum reach these windows.
     counts = (
         rows.groupBy(*names, "b")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -111,7 +111,7 @@ def fit_cuts(
     )
     pieces = len(ends) + 1
     # A piece that ends before the first row has no edge; its cut lies below every hash.
-    hashes = [F.coalesce(F.max(F.when(F.col("piece") == i, F.col("h"))), F.lit(-1)) for i in range(pieces - 1)]
+    hashes = [F.coalesce(F.max(F.when(F.col("piece") == i, F.col("h"))), F.lit("")) for i in range(pieces - 1)]
     keys = [F.max(F.when(F.col("piece") == i, F.col("k"))) for i in range(pieces - 1)]
     if not names:
         row = found.agg(F.array(*hashes).alias("hashes"), F.array(*keys).alias("keys")).first()
@@ -173,7 +173,9 @@ def group_split(df: DataFrame, key: str, seed: int = 1, exact: bool = True) -> D
         train = F.floor(n * F.lit(6) / F.lit(10))
         return [train, train + F.floor((n - train) / F.lit(2))]
 
-    plan = fit_cuts(df.select(col(key)).distinct(), key, ends, (), seed)
+    # Written once, so the two passes over the keys do not both reduce the whole table.
+    keys = cut(df.select(col(key)).distinct(), "keys")
+    plan = fit_cuts(keys, key, ends, (), seed)
     return _named(plan.apply(df, "__piece"), "__piece", SETS, "split")
 
 
@@ -213,7 +215,7 @@ def expanding_folds(df: DataFrame, period: str) -> DataFrame:
 
 def shuffled(df: DataFrame, key: str, seed: int = 1) -> DataFrame:
     """Seeded order of the keys (a range-partitioned sort)."""
-    return df.orderBy(order_hash(col(key), seed), col(key))
+    return df.orderBy(order_text(col(key), seed), col(key))
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What a date text looks like, searched anywhere in the value.
@@ -19,22 +18,20 @@ DATE_FEATURES = {
 }
 
 
-def has_format(c: Column, form: str) -> Column:
-    """Whether the value is laid out as `form`, told by its length and first separator.
+def format_test(c: str, form: str) -> str:
+    """SQL: whether the value is laid out as `form`, told by its length and first separator.
 
     No two of the formats share a layout, and a test costs no exception as a failed
     parse does.
     """
     at = next(i for i, ch in enumerate(form) if ch in "-/")
-    return (F.length(c) == len(form)) & (F.substring(c, at + 1, 1) == form[at])
+    return f"length({c}) = {len(form)} and substring({c}, {at + 1}, 1) = '{form[at]}'"
 
 
-def parse_as(c: Column, form: str) -> Column:
-    """The date of a value laid out as `form`; null when it is none."""
-    year, month, day = (F.substring(c, form.index(p) + 1, len(p)) for p in ("yyyy", "MM", "dd"))
-    return F.concat_ws("-", year, month, day).try_cast("date")
-
-
-def parse_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """The date in whichever format the value is laid out; null when none fits."""
-    return F.coalesce(*[F.when(has_format(c, f), parse_as(c, f)) for f in formats])
+def parse_date(c: str, formats: tuple[str, ...] = DATE_FORMATS) -> str:
+    """SQL: the date in whichever format the value is laid out; null when none fits."""
+    out = []
+    for f in formats:
+        parts = [f"substring({c}, {f.index(p) + 1}, {len(p)})" for p in ("yyyy", "MM", "dd")]
+        out.append(f"when {format_test(c, f)} then try_cast(concat_ws('-', {', '.join(parts)}) as date)")
+    return f"case {' '.join(out)} end"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice, product
 
@@ -14,6 +14,8 @@ from martloom.functions.values import col
 from martloom.operators.metrics import EPSILON, auc, fit_score_ranges
 
 Weights = tuple[float, ...]
+# (table, target, models, trials) -> (trial, score)
+Evaluate = Callable[[DataFrame, str, list[str], list[Weights]], DataFrame]
 
 GRID = (-1.0, 0.0, 1.0)  # fixed values: weights every combination is tried of
 PATIENCE = 1000  # fixed value: trials without gain before the search stops
@@ -62,8 +64,8 @@ def gini_of_weights(df: DataFrame, target: str, models: list[str], trials: list[
     """(trial, gini) of the weighted mean for every weight vector.
 
     Opposite weights rank rows in opposite order, so only one of each such pair is
-    ranked and the other gets the negated score. Rows with equal predictions are counted
-    together first, then each is spread to the trials as (trial, score) pairs.
+    ranked and the other gets the negated score. Each row is spread to the ranked trials
+    as (trial, score) pairs, which collapse to distinct scores before they are shuffled.
     """
     chosen: dict[Weights, int] = {}
     links = []
@@ -113,11 +115,13 @@ def search_weights(
     max_trials: int | None = None,
     batch: int = 64,
     seed: int = 42,
+    evaluate: Evaluate | None = None,
 ) -> Search:
     """Best weights on a validation table.
 
-    Classification tries the whole grid first, then draws; regression only draws. Trials
-    run in batches, one Spark job each, until `patience` trials bring no gain.
+    Classification tries the whole grid first, then draws, and scores by Gini; regression
+    only draws and scores by percentage error; `evaluate` scores otherwise. Trials run in
+    batches, one Spark job each, until `patience` trials bring no gain.
     """
     classify = task == "binary_classification"
     direction = direction or ("maximize" if classify else "minimize")
@@ -125,6 +129,7 @@ def search_weights(
     first = grid(len(models)) if classify else []
     source = iter([*first])
     tail = draws(len(models), seed)
+    evaluate = evaluate or (gini_of_weights if classify else mape_of_weights)
     best, best_score, best_at, done = None, None, 0, 0
     while best is None or done - best_at <= patience:
         room = batch if max_trials is None else min(batch, max_trials - done)
@@ -132,7 +137,6 @@ def search_weights(
         trials += list(islice(tail, room - len(trials)))
         if not trials:
             break
-        evaluate = gini_of_weights if classify else mape_of_weights
         for row in sorted(evaluate(df, target, models, trials).collect()):
             value = row[1]
             if value is not None and (best is None or sign * value > sign * best_score):

@@ -96,7 +96,7 @@ class ScoreRanges:
         if not self.bounds:
             return df.withColumn(name, F.lit(0.0))
         splits = [float("-inf"), *self.bounds, float("inf")]
-        return Bucketizer(splits=splits, inputCol=score, outputCol=name).transform(df)
+        return Bucketizer(splits=splits, inputCol=score, outputCol=name, handleInvalid="keep").transform(df)
 
 
 def fit_score_ranges(df: DataFrame, score: str, n_rows: int | None = None) -> ScoreRanges:
@@ -114,7 +114,9 @@ def fit_score_ranges(df: DataFrame, score: str, n_rows: int | None = None) -> Sc
 def auc(
     df: DataFrame, target: str, score: str, by: tuple[str, ...] = (), ranges: ScoreRanges | None = None
 ) -> DataFrame:
-    """Exact ROC AUC per group, ties counting one half; null where a class is missing.
+    """Exact ROC AUC per group, ties counting one half.
+
+    Null where a class is missing or a row has no score or no target.
 
     Rows collapse to one per distinct score before any shuffle, scores are ranked inside
     score ranges, and the ranges are put together from their class totals, so neither a
@@ -124,9 +126,17 @@ def auc(
     keys = [f"g_{i}" for i in range(len(by))]
     positive = (col(target).cast("int") == 1).cast("bigint")
     points = (
-        df.select(*[col(b).alias(k) for b, k in zip(by, keys)], positive.alias("pos"), col(score).cast("double").alias("s"))
+        df.select(
+            *[col(b).alias(k) for b, k in zip(by, keys)],
+            positive.alias("pos"),
+            F.nanvl(col(score).cast("double"), F.lit(None)).alias("s"),
+        )
         .groupBy(*keys, "s")
-        .agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg"))
+        .agg(
+            F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"),
+            F.coalesce(F.sum(1 - F.col("pos")), F.lit(0)).alias("neg"),
+            F.count_if(F.col("s").isNull() | F.col("pos").isNull()).alias("bad"),
+        )
     )
     points = ranges.apply(points, "s", "r")
     below = W.partitionBy(*keys, "r").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
@@ -135,13 +145,15 @@ def auc(
         F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("won"),
         F.sum("pos").alias("pos"),
         F.sum("neg").alias("neg"),
+        F.sum("bad").alias("bad"),
     )
     # One row per group and range from here on.
     earlier = (W.partitionBy(*keys) if keys else W.partitionBy()).orderBy("r").rowsBetween(W.unboundedPreceding, -1)
     joined = totals.withColumn("earlier", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
     won = F.sum(F.col("won") + F.col("pos") * F.col("earlier"))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return joined.groupBy(*keys).agg(F.try_divide(won, pairs).alias("auc")).withColumnsRenamed(dict(zip(keys, by)))
+    found = F.when(F.sum("bad") == 0, F.try_divide(won, pairs)).alias("auc")
+    return joined.groupBy(*keys).agg(found).withColumnsRenamed(dict(zip(keys, by)))
 
 
 def with_gini(auc_table: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martloom.functions.dates import DATE_FORMATS, parse_date
@@ -49,7 +50,7 @@ class Narrowing:
     def expression(self) -> Column:
         c = col(self.name)
         if self.formats:
-            c = parse_date(c, self.formats).cast(self.type)
+            c = F.expr(parse_date(quoted(self.name), self.formats)).cast(self.type)
         elif self.logical not in ("categorical", "category"):
             c = c.cast(self.type)
         kind = {"logical": "categorical"} if self.logical in ("categorical", "category") else {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martloom.functions.dates import DATE_FORMATS, DATE_PATTERN
+from martloom.functions.dates import DATE_FORMATS, DATE_PATTERN, format_test, parse_date
 from martloom.functions.values import FLOATING, INTEGRAL, col, is_numeric, present, present_sql, quoted
 
 # Columns per aggregation job: generated code for many more is too large to be compiled
@@ -76,17 +76,6 @@ def batched(df: DataFrame, per_column: list[list[str]]) -> dict[str, object]:
         return {k: v for values in found for k, v in values.items()}
 
 
-def _formats_sql(c: str) -> tuple[list[str], str]:
-    """Per date format the test of its layout; and the parsed date, as in `parse_date`."""
-    tests, parses = [], []
-    for f in DATE_FORMATS:
-        at = next(i for i, ch in enumerate(f) if ch in "-/")
-        tests.append(f"length({c}) = {len(f)} and substring({c}, {at + 1}, 1) = '{f[at]}'")
-        parts = [f"substring({c}, {f.index(p) + 1}, {len(p)})" for p in ("yyyy", "MM", "dd")]
-        parses.append(f"when {tests[-1]} then try_cast(concat_ws('-', {', '.join(parts)}) as date)")
-    return tests, f"case {' '.join(parses)} end"
-
-
 def _expressions(f: T.StructField, want: frozenset[str]) -> dict[str, str]:
     t, c = f.dataType, present_sql(f.name, f.dataType)
     out = {}
@@ -98,10 +87,10 @@ def _expressions(f: T.StructField, want: frozenset[str]) -> dict[str, str]:
     if "fraction" in want and isinstance(t, (*FLOATING, T.DecimalType)):
         out["n_fraction"] = f"count_if(cast({c} as double) <> rint({c}))"
     if "dates" in want and isinstance(t, T.StringType):
-        tests, parsed = _formats_sql(c)
+        counts = ", ".join(f"count_if({format_test(c, form)})" for form in DATE_FORMATS)
         out["n_not_date"] = f"count_if(not {c} rlike r'{DATE_PATTERN}')"
-        out["n_formats"] = f"array({', '.join(f'count_if({test})' for test in tests)})"
-        out["n_unparsed"] = f"count_if({c} is not null and {parsed} is null)"
+        out["n_formats"] = f"array({counts})"
+        out["n_unparsed"] = f"count_if({c} is not null and {parse_date(c)} is null)"
     if "bytes" in want and isinstance(t, T.StringType):
         out["n_bytes"] = f"coalesce(sum(octet_length({c})), 0)"
     return out

@@ -51,8 +51,11 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that no other call gets, below the application's own part of the shared folder.
+
+    Tables there are of no use once the application has ended and its part may be deleted.
+    """
+    return f"{scratch_root(spark)}/martloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "cut", partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -67,6 +67,15 @@ def test_auc_does_not_depend_on_the_ranges(scored, bounds):
     assert total == pytest.approx(naive_auc([(y, s) for *_, y, s in rows]))
 
 
+@pytest.mark.parametrize("bounds", [(), (0.3,)])
+def test_auc_with_a_missing_score_or_target_is_null(spark, bounds):
+    rows = [("ok", 1, 0.7), ("ok", 0, 0.2), ("a", 1, None), ("a", 0, 0.1), ("a", 1, 0.2), ("b", None, 0.5), ("b", 1, 0.6),
+            ("b", 0, 0.2), ("c", 1, float("nan")), ("c", 0, 0.2), ("c", 1, 0.3)]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+    got = {r["g"]: r["auc"] for r in auc(df, "y", "s", ("g",), ScoreRanges(bounds)).collect()}
+    assert got == {"ok": 1.0, "a": None, "b": None, "c": None}
+
+
 def test_score_ranges_split_only_large_tables(spark):
     df = spark.range(10).select(F.col("id").cast("double").alias("s"))
     assert fit_score_ranges(df, "s") == ScoreRanges(())

@@ -105,6 +105,23 @@ def sql_auc(source: str, by: tuple[str, ...] = (), score: str = "score", target:
     """
 
 
+def sql_metrics(source: str) -> str:
+    """Accuracy and macro scores per `set` of rows (set, y, p), counted class by class."""
+    return f"""
+      select c.set, any_value(a.accuracy) as accuracy,
+        avg(case when actual + predicted > 0 then 2.0::double * tp / (actual + predicted) else 0 end) as f1,
+        avg(case when predicted > 0 then tp * 1.0::double / predicted else 0 end) as precision,
+        avg(case when actual > 0 then tp * 1.0::double / actual else 0 end) as recall
+      from (
+        select k.set, k.label, count(*) filter (d.y = k.label and d.p = k.label) as tp,
+               count(*) filter (d.y = k.label) as actual, count(*) filter (d.p = k.label) as predicted
+        from (select distinct set, unnest([y, p]) as label from ({source})) k
+        join ({source}) d on d.set = k.set group by k.set, k.label
+      ) c join (select set, avg((y = p)::int) as accuracy from ({source}) group by set) a on a.set = c.set
+      group by c.set
+    """
+
+
 # -- predictions of three models ----------------------------------------------
 
 MODELS = ["m1", "m2", "m3"]

@@ -13,6 +13,7 @@ from martloom.catalog.common import (
     r6,
     scored,
     sql_auc,
+    sql_metrics,
     sql_r6,
     table,
 )
@@ -65,19 +66,7 @@ select case when l_shipdate < timestamp '1999-01-01' then 'train' else 'test' en
   case when l_quantity < 15 then 'A' when l_quantity < 30 then 'N' when l_quantity < 49 then 'R' else 'X' end as p
 from lineitem
 """
-SQL_METRICS = f"""
-select c.set, any_value(a.accuracy) as accuracy,
-  avg(case when actual + predicted > 0 then 2.0 * tp / (actual + predicted) else 0 end) as f1,
-  avg(case when predicted > 0 then tp * 1.0::double / predicted else 0 end) as precision,
-  avg(case when actual > 0 then tp * 1.0::double / actual else 0 end) as recall
-from (
-  select k.set, k.label, count(*) filter (d.y = k.label and d.p = k.label) as tp,
-         count(*) filter (d.y = k.label) as actual, count(*) filter (d.p = k.label) as predicted
-  from (select distinct set, unnest([y, p]) as label from ({SQL_CLASSIFIED})) k
-  join ({SQL_CLASSIFIED}) d on d.set = k.set group by k.set, k.label
-) c join (select set, avg((y = p)::int) as accuracy from ({SQL_CLASSIFIED}) group by set) a on a.set = c.set
-group by c.set
-"""
+SQL_METRICS = sql_metrics(SQL_CLASSIFIED)
 
 
 @query(f"select set, {', '.join(f'{sql_r6(m)} as {m}' for m in METRICS)} from ({SQL_METRICS})")

@@ -6,12 +6,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
-from martloom.catalog.common import query, r6, sql_auc, sql_order, sql_r6, table
+from martloom.catalog.common import query, r6, sql_auc, sql_metrics, sql_order, sql_r6, table
 from martloom.learning.jobs import batch_score, predictions, select_model, train_and_evaluate, train_from
 from martloom.learning.registry import make
 from martloom.learning.tuning import SearchSpace, tune
 from martloom.learning.validation import cross_validate, leaderboard, temporal_validate
-from martloom.operators.metrics import OVER_SCORES
+from martloom.operators.metrics import METRICS, OVER_SCORES
 from martloom.operators.scaling import Scale
 from martloom.operators.splits import ratio_split
 from martloom.plans.mart import assemble
@@ -117,6 +117,48 @@ def train_evaluate(spark, sf):
     return train_from(spark, path, "LGBMClassifier", "6:2:2", "key", maxIter=5).metrics
 
 
+# A tree of depth one on a 0/1 feature predicts the majority label of the training rows
+# with the same feature value, and so does the baseline.
+def _steps(spark, sf):
+    return _events(spark, sf).select("key", (F.col("x") > 0.6).cast("double").alias("f"), "y")
+
+
+SQL_STEPS = f"select key, (x > 0.6)::int as f, y from ({SQL_EVENTS})"
+SQL_STEP_SETS = f"""
+with ranked as (select *, row_number() over (order by {sql_order("key", 42)}) as rn, count(*) over () as n
+                from ({SQL_STEPS})),
+  placed as (select *, case when rn <= n - ceil(n * 4 / 10) then 'train'
+               when rn <= n - ceil(ceil(n * 4 / 10) * 2 / 4) then 'valid' else 'test' end as split from ranked),
+  leaf as (select f, avg(y) as p from placed where split = 'train' group by f)
+"""
+SQL_STEP_METRICS = sql_metrics(f"""
+{SQL_STEP_SETS}
+select unnest(case split when 'train' then ['train'] else ['test', 'baseline'] end) as set, y, (p > 0.5)::int as p
+from placed join leaf using (f) where split <> 'valid'
+""")
+
+
+@query(
+    " union all ".join(
+        f"select set || '_{m}' as metric, {sql_r6(m)} as value from ({SQL_STEP_METRICS})" for m in METRICS
+    )
+)
+def train_evaluate_step(spark, sf):
+    out = train_and_evaluate(_steps(spark, sf), "decision_tree", "6:2:2", "key", maxDepth=1)
+    return out.metrics.select("metric", r6("value").alias("value"))
+
+
+@query(f"{SQL_STEP_SETS} select key, round(p, 4) as decision_tree, round(p, 4) as logistic_regression from placed join leaf using (f)")
+def predictions_step(spark, sf):
+    """Both families give the share of positives among the rows with the same feature."""
+    rows = assemble(ratio_split(_steps(spark, sf), "6:2:2", "key"), ["f"], ("key", "y", "split"))
+    settings = {"decision_tree": {"maxDepth": 1}, "logistic_regression": {"tol": 1e-8}}
+    train = rows.where("split = 'train'")
+    models = {n: make(n, label="y", **s).fit(train) for n, s in settings.items()}
+    out = predictions(models, rows, "key")
+    return out.select("key", *[F.round(n, 4).alias(n) for n in models])
+
+
 @query()
 def train_multiclass(spark, sf):
     rows = table(spark, sf, "events").select(
@@ -133,6 +175,21 @@ def leaderboard_models(spark, sf):
     return leaderboard(_vectors(spark, sf, FEATURES), models, "y", "key", k=2)
 
 
+SQL_FOLD_RANKS = sql_auc(_sql_folds("y"), ("fold",), score="x", target="y")
+
+
+@query(f"""
+select unnest(['logistic_regression', 'linear_svm']) as model, {sql_r6("avg(auc)")} as roc_auc_score,
+       {sql_r6("avg(2 * auc - 1)")} as gini_score
+from ({SQL_FOLD_RANKS})
+""")
+def leaderboard_one_feature(spark, sf):
+    settings = {"logistic_regression": {"regParam": 0.01}, "linear_svm": {"regParam": 0.01, "maxIter": 10}}
+    models = {n: make(n, label="y", **s) for n, s in settings.items()}
+    out = leaderboard(_vectors(spark, sf), models, "y", "key")
+    return out.select("model", *[r6(c).alias(c) for c in ("roc_auc_score", "gini_score")])
+
+
 @query()
 def leaderboard_regressors(spark, sf):
     models = {n: make(n, "regression", "amount") for n in ("linear", "ridge", "lasso", "elastic_net", "decision_tree")}
@@ -152,6 +209,27 @@ def tune_trials(spark, sf):
     return read_runs(spark, log)
 
 
+SQL_STEP_FOLDS = f"""
+select *, (rn > floor(n * 1 / 2))::int as fold from (
+  select *, row_number() over (partition by y order by {sql_order("key", 42)}) as rn,
+         count(*) over (partition by y) as n from ({SQL_STEPS}))
+"""
+
+
+@query(f"""
+select unnest([0, 1, 2])::int as trial_id, 'decision_tree' as model,
+       unnest(['{{"maxDepth": 1}}', '{{"maxDepth": 3}}', '{{"maxDepth": 2}}']) as params,
+       {sql_r6("avg(2 * auc - 1)")} as gini
+from ({sql_auc(SQL_STEP_FOLDS, ("fold",), score="f", target="y")})
+""")
+def tune_step(spark, sf):
+    """Trees of any depth rank a 0/1 feature alike; the trials keep their order."""
+    rows = assemble(_steps(spark, sf), ["f"], ("key", "y"))
+    space = SearchSpace({"a": {"maxDepth": 1}, "b": {"maxDepth": 3}}, {"maxDepth": [2, 2]})
+    trials = tune(rows, "decision_tree", space, "y", "key", n_trials=3, k=2).trials
+    return trials.select("trial_id", "model", "params", r6("`metrics.gini_score`").alias("gini"))
+
+
 @query()
 def select_and_ensemble(spark, sf):
     rows = ratio_split(_vectors(spark, sf, FEATURES), "6:2:2", "key")

@@ -261,6 +261,22 @@ def encode_stage(spark, sf):
     return Encode().fit(df).apply(df)
 
 
+# Two columns reduce to one component, whose direction has a closed form.
+@query(f"""
+with d as (select l_orderkey, l_linenumber, (l_quantity > 25)::int as a, (l_quantity > 35)::int as b from lineitem),
+  m as (select avg(a) as ma, avg(b) as mb,
+          0.5::double * atan2(2 * covar_samp(a, b), var_samp(a) - var_samp(b)) as t from d),
+  s as (select *, case when abs(cos(t)) >= abs(sin(t)) then sign(cos(t)) else sign(sin(t)) end as side from m)
+select l_orderkey, l_linenumber, {sql_r6("side * ((a - ma) * cos(t) + (b - mb) * sin(t))")} as x_0 from d, s
+""")
+def reduce_two_booleans(spark, sf):
+    df = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_quantity") > 25).alias("a"), (F.col("l_quantity") > 35).alias("b")
+    )
+    out = ReduceBooleans().fit(df).apply(df)
+    return out.select("l_orderkey", "l_linenumber", r6("x_0").alias("x_0"))
+
+
 @query()
 def reduce_booleans(spark, sf):
     df = OneHotBoolean().fit(_flagged(spark, sf)).apply(_flagged(spark, sf))

@@ -171,7 +171,7 @@ def _child(spark, sf):
         "l_quantity",
         "l_discount",
         "l_returnflag",
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("supplier"),
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("part"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"),
     )
 

@@ -42,12 +42,19 @@ def _moments(means: list[float]):
         n, sx, sxy, sxx = (np.zeros((k, k)) for _ in range(4))
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns]) - shift
-            mask = (~np.isnan(x)).astype("float64")
-            x = np.where(mask > 0, x, 0.0)
-            n += mask.T @ mask
-            sx += x.T @ mask
+            missing = np.isnan(x)
+            if missing.any():
+                mask = (~missing).astype("float64")
+                x[missing] = 0.0
+                n += mask.T @ mask
+                sx += x.T @ mask
+                sxx += (x * x).T @ mask
+            else:
+                # Every pair is complete, so these sums are the same for all partners.
+                n += len(x)
+                sx += x.sum(axis=0)[:, None]
+                sxx += (x * x).sum(axis=0)[:, None]
             sxy += x.T @ x
-            sxx += (x * x).T @ mask
         i, j = np.triu_indices(k, 1)
         arrays = [i.astype("int32"), j.astype("int32"), n[i, j], sx[i, j], sx[j, i], sxy[i, j], sxx[i, j], sxx[j, i]]
         yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[f.split()[0] for f in MOMENTS.split(", ")])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from martloom.functions.values import col
 from martloom.operators.combine import union_relaxed
+from martloom.operators.filters import nan_to_null
 from martloom.sources.contract import Contract
 
 Reader = Callable[..., DataFrame]
@@ -23,7 +24,10 @@ def file_reader(spark: SparkSession, path: str, format: str = "parquet", **optio
 
 @dataclass(frozen=True)
 class Source:
-    """A named table: reader with parameters, projection, casts and contract."""
+    """A named table: reader with parameters, projection, casts and contract.
+
+    A cast is any Column -> Column function, a pandas UDF included. NaN is read as null.
+    """
 
     name: str
     reader: Reader = file_reader
@@ -38,7 +42,7 @@ class Source:
             df = df.select(*[col(c) for c in self.columns])
         if self.casts:
             df = df.withColumns({c: cast(col(c)) for c, cast in self.casts.items()})
-        return df
+        return nan_to_null(df)
 
 
 def snapshot(df: DataFrame, path: str | None, name: str) -> str | None:

@@ -14,7 +14,7 @@ from martloom.operators.scaling import Scale
 from martloom.plans.mart import assemble
 from martloom.session import scratch_path, scratch_root
 from martloom.sources.runs import read_metrics
-from martloom.sources.tables import is_written, materialise, read_parts, table_paths
+from martloom.sources.tables import Source, is_written, materialise, read_parts, table_paths
 from martloom.streaming.apply import write_applied
 
 
@@ -134,3 +134,10 @@ def test_search_space_kinds():
     assert list(space.trials(5)) == list(space.trials(5))
     with pytest.raises(TypeError):
         list(SearchSpace(ranges={"m": [None, 1.0]}).trials(1))
+
+
+def test_source_projects_casts_and_reads_nan_as_null(spark):
+    reader = lambda s, n: s.createDataFrame([(1, float("nan"), "a"), (2, 1.5, "b")][:n], "k int, v double, t string")
+    source = Source("s", reader, {"n": 2}, columns=("v", "k"), casts={"k": lambda c: c.cast("string")})
+    df = source.read(spark)
+    assert df.columns == ["v", "k"] and [tuple(r) for r in df.collect()] == [(None, "1"), (1.5, "2")]

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martloom.llm import pii
 from martloom.llm.frames import table
+from martloom.llm.language import held_out, identify
 from martloom.llm.line_dedup import drop_repeated_lines
+from martloom.llm.near_dedup import near_duplicates
 from martloom.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +53,27 @@ ORACLES["op1_line_dedup"] = """
 @register
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify(docs).withColumn("held_out", held_out(F.col("id")))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", "rejected")
+
+
+@register
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [
+        F.size(F.filter("pii_base", pii.of_kind(i))).cast("bigint").alias(f"n_{kind}")
+        for i, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.as_text("pii_base"), 256).alias("base_sha256"), pii.as_text("pii_spans").alias("spans")
+    )

@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,20 @@ from martloom.session import cut
 
 CAPACITY = 4096
 END_ID = 1
-# Words whose ids a worker remembers before it starts afresh.
+# Words and parts of words whose ids a worker remembers before it starts afresh.
 REMEMBERED_WORDS = 400_000
+# Fixed value: the vocabulary's own split of lower-case text.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Letters of the Latin blocks whose lower case is one letter; with them, printable ASCII
+# without angle brackets, which could spell a special token.
+LATIN_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e"
+LATIN = regex.compile(f"[{LATIN_LETTERS}]+")
+PLAIN = regex.compile(f"[!-;=?-~{LATIN_LETTERS}]+")
+SIGNS = np.isin(np.arange(256), list(b".,"))
+SPACES = np.isin(np.arange(256), list(b" \n"))
+BEFORE_SIGN = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+# Second bytes of U+00C0 to U+00FF in UTF-8 that are letters.
+LATIN_BYTES = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])
 
 
 def default_vocabulary() -> str:
@@ -44,7 +57,10 @@ class WordIds(dict):
     """Ids of words between ASCII white space, as little-endian bytes.
 
     The tokenizer splits at white space before it merges, so a text's ids are those of its
-    words one after another, and a word met before need not be merged again.
+    words one after another, and a word met before need not be merged again. New words that
+    the vocabulary's pattern keeps whole go to the tokenizer many at a time, since the last
+    id of each is marked as such in the vocabulary; other words in plain characters are
+    joined from parts found that way. What remains goes word by word.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,18 +68,68 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.last[i] = piece.endswith("</w>")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self) > REMEMBERED_WORDS:
             self.clear()
-        split = [text.split() for text in texts]
-        new = list(set().union(*split).difference(self))
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
+        split = [words_of(text) for text in texts]
+        self._learn({word for words in split for word in words if word not in self})
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
+    def _learn(self, words: set[bytes]) -> None:
+        whole, mixed, rest = [], {}, []
+        for word in words:
+            if word.isalpha():
+                whole.append(word)
+                continue
+            text = word.decode("utf-8", "replace")
+            if LATIN.fullmatch(text):
+                whole.append(word)
+            elif PLAIN.fullmatch(text):
+                mixed[word] = [part.encode() for part in PARTS.findall(text.lower())]
+            else:
+                rest.append(word)
+        whole += {part for parts in mixed.values() for part in parts if part not in self}.difference(whole)
+        for start in range(0, len(whole), 1000):
+            some = whole[start : start + 1000]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) == len(some):
+                data = ids.tobytes()
+                self.update(zip(some, [data[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+            else:
+                self._each(some)
+        self.update((word, b"".join([self[part] for part in parts])) for word, parts in mixed.items())
+        for start in range(0, len(rest), 1000):
+            self._each(rest[start : start + 1000])
+
+    def _each(self, words: list[bytes]) -> None:
+        texts = [word.decode("utf-8", "replace") for word in words]
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        self.update((word, array("I", e.ids).tobytes()) for word, e in zip(words, found, strict=True))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """A text cut at white space, in ASCII lower case, which the vocabulary brings it to anyway.
+
+    Commas and full stops that end a word are cut off too if each of them follows a letter
+    or digit, as they are then no part of a longer run of signs. Texts that may spell a
+    special token are only cut at white space.
+    """
+    if b"<|" in text:
+        return text.split()
+    text = text.lower()
+    data = np.frombuffer(text, dtype=np.uint8)
+    at = np.flatnonzero(SIGNS[data[2:-1]]) + 2
+    at = at[SPACES[data[at + 1]]]
+    before = data[at - 1]
+    if (BEFORE_SIGN[before] | LATIN_BYTES[before] & (data[at - 2] == 0xC3)).all() and text[:1] not in b".," and text[1:2] not in b".,":
+        text = text.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n")
+    return text.split()
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:

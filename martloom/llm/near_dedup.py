@@ -9,11 +9,13 @@ those are listed (a prefix filter on the sketch). Values that a common passage p
 very many documents are thereby listed only for documents that consist of such passages.
 
 *Rounds.* A list is never turned into all its pairs. In each round it names a few leaders,
-from its smallest components, and pairs them with the members of other components; links
-found merge components, tested leaders leave the list, and a list that lies in one
-component is done. A large group of near copies is settled by its first leaders. The number
-of leaders grows eightfold each round, and rounds go on until no list is open, so there is
-no cap on a list.
+from its smallest components and those first that share most values with others, and pairs
+them with the members of other components; links found merge components, tested leaders
+leave the list, and a list that lies in one component is done. A large group of near copies
+is settled by its first leader. What is then still open is bounded exactly: a shingle that
+no other open document has is in no intersection, so a heavily edited copy with too many of
+them can be linked with nothing and leaves. The number of leaders grows eightfold each
+round, and rounds go on until no list is open, so there is no cap on a list.
 
 *Filter and proof.* The Jaccard index estimated on the smallest `k` values of the union of
 both sketches drops pairs far below the threshold (4.5 standard deviations), the rest is
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martloom.llm.components import components
-from martloom.llm.frames import column, map_batches, map_stream, packed, slices
+from martloom.llm.frames import Scratch, column, map_batches, map_stream, packed, slices
 from martloom.session import cut
 
 WORDS = 5
@@ -102,14 +104,18 @@ def near_duplicates(
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): the group of each row and whether it leads it."""
     rows = packed(docs, id_col, text_col)
-    signed = cut(sketches(rows, words, k), "sketches")
+    scratch = Scratch(docs.sparkSession, "near")
+    signed = scratch.write(sketches(rows, words, k), "sketches")
     grouped = signed.where("n > 0 and id is not null").groupBy("class")
-    classes = cut(grouped.agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    grouped = grouped.agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scratch.write(grouped, "classes")
+    of_class = cut(signed.select("id", "n", "class"), "members")
+    scratch.give_up(signed)
     listed = cut(inverted_lists(classes, percent, k), "lists")
     members = listed.select(F.col("rep").alias("id")).distinct()
     sets = cut(shingle_sets(rows.join(members, "id", "left_semi"), words), "sets")
     labels = _merge(listed, classes, sets, percent, k)
-    own = signed.select("id", "n", "class").join(classes.select("class", "rep"), "class", "left")
+    own = of_class.join(classes.select("class", "rep"), "class", "left")
     own = own.join(labels, "rep", "left")
     group = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return own.select(
@@ -129,9 +135,9 @@ def drop_near_duplicates(
 
 
 def inverted_lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """(v, rep, n): the values under which each class is listed, those of two classes or more.
+    """(v, rep, n, common): the values under which each class is listed, those of two classes or more.
 
-    Of a sketch of s values a linked one shares at least share * s, so at least one shared
+    `common` is how many values of its sketch some other class has too. Of a sketch of s values a linked one shares at least share * s, so at least one shared
     value is among the s - share * s + 1 rarest.
     """
     share = max(0.0, percent / 100 - MARGIN * math.sqrt(percent / 100 * (1 - percent / 100) / k))
@@ -141,8 +147,9 @@ def inverted_lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
     size = F.least(F.col("n"), F.lit(k))
     room = size - F.ceil(size * F.lit(share)) + 1 - (size - F.size("common"))
     listed = common.join(classes.select("rep", "n"), "rep").withColumn("room", room.cast("int")).where("room > 0")
-    rarest = listed.select("rep", "n", F.explode(F.slice(F.sort_array("common"), 1, F.col("room"))).alias("c"))
-    return rarest.select(F.col("c.v").alias("v"), "rep", "n").distinct()
+    rarest = F.explode(F.slice(F.sort_array("common"), 1, F.col("room"))).alias("c")
+    rows = listed.select("rep", "n", F.size("common").alias("common"), rarest)
+    return rows.select(F.col("c.v").alias("v"), "rep", "n", "common").distinct()
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -157,39 +164,76 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return map_stream(rows.select("id", "text"), "id bigint, shingles binary", sets)
 
 
+def coverage(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, covered): how many shingles of each full set are in another set of `reps` too."""
+
+    def exploded(parts: Iterable[pa.RecordBatch]) -> Iterable[dict]:
+        for batch in slices(parts, "shingles", 1 << 24):
+            own = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column("shingles")]
+            ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in own])
+            yield {"rep": ids, "v": np.concatenate(own)}
+
+    chosen = sets.join(reps.withColumnRenamed("rep", "id"), "id", "left_semi")
+    values = map_stream(chosen, "rep bigint, v bigint", exploded)
+    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
+    return values.join(shared, "v").groupBy("rep").agg(F.count("*").alias("covered"))
+
+
 def _merge(listed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """(rep, component) of the listed classes, after rounds of leaders."""
     labels = cut(listed.select("rep").distinct().withColumn("component", F.col("rep")), "labels")
     signed = classes.select("rep", "sketch").join(labels.select("rep"), "rep", "left_semi")
     signed = cut(signed, "signed")
-    tested, leaders, members = None, 1, listed
+    # Until a set is known better, all of it may be shared.
+    members = listed.withColumn("covered", F.col("n"))
+    tested, leaders = None, 1
     while True:
-        now = members.join(labels, "rep")
-        sizes = now.groupBy("v", "component").agg(F.count("*").alias("size"))
-        open_lists = sizes.groupBy("v").agg(F.count("*").alias("parts")).where("parts > 1").select("v")
-        now = cut(now.join(open_lists, "v"), "members")
+        now = cut(_open(members.join(labels, "rep"), percent), "members")
+        if tested is not None and leaders == LEADERS_GROW:
+            known = coverage(sets, now.select("rep").distinct())
+            now = now.drop("covered").join(known, "rep", "left").na.fill(0, ["covered"])
+            now = cut(_open(now, percent), "members")
         if now.isEmpty():
             return labels
-        order = Window.partitionBy("v").orderBy("size", "rep")
+        sizes = now.groupBy("v", "component").agg(F.count("*").alias("size"))
+        order = Window.partitionBy("v").orderBy("size", F.desc("common"), "rep")
         smallest = now.join(sizes, ["v", "component"]).withColumn("place", F.row_number().over(order))
-        lead = cut(smallest.where(F.col("place") <= leaders).select("v", "rep", "component", "n"), "leaders")
+        lead = cut(smallest.where(F.col("place") <= leaders).select("v", "rep", "component", "n", "covered"), "leaders")
         pairs = _pairs(lead, now, percent)
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = verified(estimated(pairs, signed, percent, k), sets, percent)
         labels = _relabelled(labels, links)
-        members = cut(now.join(lead, ["v", "rep"], "left_anti").select("v", "rep", "n"), "members")
+        members = now.join(lead.select("v", "rep"), ["v", "rep"], "left_anti").drop("component")
         leaders *= LEADERS_GROW
 
 
+def _open(members: DataFrame, percent: int) -> DataFrame:
+    """Members that may still be linked with one of another component in their list.
+
+    A link needs a shared part of percent / (100 + percent) of both sizes together, and the
+    smallest set of the list is the easiest partner.
+    """
+    lows = members.groupBy("v").agg(F.min("n").alias("low"))
+    able = members.join(lows, "v").where((100 + percent) * F.col("covered") >= percent * (F.col("n") + F.col("low")))
+    able = able.drop("low")
+    parts = able.groupBy("v").agg(F.min("component").alias("one"), F.max("component").alias("other"))
+    return able.join(parts.where("one <> other").select("v"), "v")
+
+
 def _pairs(lead: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Different pairs (a, b), a < b, of a leader and a member of another component.
 
-    Sets whose sizes differ by more than the threshold allows cannot be linked.
+    Left out are pairs whose sizes, or the parts that others have too, rule out a link.
     """
-    other = members.select("v", F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"))
-    met = other.join(lead, "v").where("component <> component_b").where(
-        100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    other = members.select(
+        "v", F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"),
+        F.col("covered").alias("covered_b"),
+    )
+    met = other.join(lead, "v").where(
+        (F.col("component") != F.col("component_b"))
+        & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+        & ((100 + percent) * F.least("covered", "covered_b") >= percent * (F.col("n") + F.col("n_b")))
     )
     return met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
 

@@ -13,6 +13,7 @@ from martloom.llm.language import held_out, identify
 from martloom.llm.line_dedup import drop_repeated_lines
 from martloom.llm.near_dedup import near_duplicates
 from martloom.llm.packing import pack
+from martloom.llm.repeats import repeats
 from martloom.llm.topk import search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +83,12 @@ ORACLES["op4_exact_topk"] = """
 """
 
 
+@register
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.llm import pii
+from martloom.llm.fingerprints import with_edits
 from martloom.llm.frames import table
 from martloom.llm.language import held_out, identify
 from martloom.llm.line_dedup import drop_repeated_lines
@@ -96,6 +97,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", "rejected")
 
 
+@register
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_edits(table(spark, sf_dir, "documents"))
+
+
 @register
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))

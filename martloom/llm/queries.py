@@ -15,7 +15,10 @@ from martloom.llm.line_dedup import drop_repeated_lines
 from martloom.llm.near_dedup import near_duplicates
 from martloom.llm.packing import pack
 from martloom.llm.repeats import repeats
+from martloom.llm.sentence_pieces import encode_and_check
+from martloom.llm.token_rollup import TokenRollup, counted, default_versions
 from martloom.llm.topk import search
+from martloom.session import cut, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +115,36 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(pii.as_text("pii_base"), 256).alias("base_sha256"), pii.as_text("pii_spans").alias("spans")
     )
+
+
+@register
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_check(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive in four batches by a hash of the id, one batch twice; then every
+    document with a digit is revised to a text without digits, and every copy of a text but
+    the one with the smallest id is deleted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    copy = F.xxhash64("text", F.lit("copy"))
+    inserts = docs.select(F.lit("insert").alias("op"), F.lit(0).alias("seq"), "*")
+    plain = F.regexp_replace("text", "[0-9]+", "")
+    revised = docs.where(F.col("text").rlike("[0-9]")).select(
+        F.lit("revise").alias("op"), F.lit(1).alias("seq"), "doc_id", plain.alias("text"), "lang", "source"
+    )
+    hashed = docs.select("doc_id", "lang", "source", copy.alias("copy"))
+    firsts = hashed.groupBy("copy").agg(F.min("doc_id").alias("first"))
+    gone = hashed.join(firsts, "copy").where("doc_id <> first").select(
+        F.lit("delete").alias("op"), F.lit(2).alias("seq"), "doc_id", F.lit("").alias("text"), "lang", "source"
+    )
+    versions = default_versions()
+    counts = cut(counted(inserts.unionByName(revised).unionByName(gone), versions), "counts", ("seq",))
+    rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    for n in (0, 1, 2, 1, 3):
+        rollup.commit(f"insert-{n}", counts.where((F.col("seq") == 0) & (arrival == n)))
+    rollup.commit("revise", counts.where("seq = 1"))
+    rollup.commit("delete", counts.where("seq = 2"))
+    return rollup.totals()

@@ -13,10 +13,9 @@ from its smallest components and those first that share most values with others,
 them with the members of other components; links found merge components, tested leaders
 leave the list, and a list that lies in one component is done. A large group of near copies
 is settled by its first leader. What is then still open is bounded exactly: a shingle that
-no other open document has is in no intersection, and two documents measured against the
-same anchor (the leader most were tested with) share no more of the anchor than the one with
-less of it, and no more beside it than either shares with anyone. So heavily edited copies
-are told apart without being compared. The number of leaders grows `LEADERS_GROW`-fold each
+no other open document has is in no intersection, and of the shingles in a hash bucket two
+documents share no more than the one with fewer has there. So heavily edited copies are told
+apart without being compared. The number of leaders grows `LEADERS_GROW`-fold each
 round, and rounds go on until no list is open, so there is no cap on a list.
 
 *Filter and proof.* The Jaccard index estimated on the smallest `k` values of the union of
@@ -49,10 +48,10 @@ from martloom.session import cut
 WORDS = 5
 PERCENT = 75
 SKETCH = 128
-BOUNDS = ("covered", "anchor", "inner", "outer")
+BUCKETS = 64
 # Standard deviations that the sketch filters leave below the threshold.
 MARGIN = 4.5
-LEADERS_GROW = 64
+LEADERS_GROW = 256
 
 
 class Shingler:
@@ -167,22 +166,6 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return map_stream(rows.select("id", "text"), "id bigint, shingles binary", sets)
 
 
-def anchors(tested: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, anchor, inner): for each of `reps` (rep, n) the most tested of itself and its partners.
-
-    `inner` is the number of shingles it shares with the anchor. `tested` is (a, b, shared).
-    """
-    # Pairs that the sketches ruled out were not measured and anchor nothing.
-    tested = tested.where("shared is not null").select("a", "b", "shared")
-    both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    degrees = both.groupBy("a").agg(F.count("*").alias("degree"))
-    own = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("shared"))
-    rated = both.unionByName(own).join(degrees.withColumnRenamed("a", "b"), "b", "left").na.fill(0, ["degree"])
-    best = F.max(F.struct("degree", (-F.col("b")).alias("b"), "shared")).alias("best")
-    found = rated.join(reps.select(F.col("rep").alias("a")), "a", "left_semi").groupBy("a").agg(best)
-    return found.select(F.col("a").alias("rep"), (-F.col("best.b")).alias("anchor"), F.col("best.shared").alias("inner"))
-
-
 def _exploded(sets: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, v): the shingles of the sets of `reps`."""
 
@@ -196,21 +179,16 @@ def _exploded(sets: DataFrame, reps: DataFrame) -> DataFrame:
     return map_stream(chosen, "rep bigint, v bigint", values)
 
 
-def coverage(sets: DataFrame, anchored: DataFrame) -> DataFrame:
-    """(rep, anchor, inner, covered, outer) of the open sets.
-
-    `covered` counts the shingles that another open set has too, `outer` those of them that
-    the anchor does not have.
-    """
-    values = _exploded(sets, anchored)
+def coverage(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, covered, spread): how many shingles another open set has too, in all and by hash bucket."""
+    values = _exploded(sets, reps)
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
-    kept = values.join(shared, "v").join(anchored, "rep")
-    heads = _exploded(sets, anchored.select(F.col("anchor").alias("rep")))
-    heads = heads.select(F.col("rep").alias("anchor"), "v", F.lit(True).alias("inside"))
-    counts = kept.join(heads, ["anchor", "v"], "left").groupBy("rep").agg(
-        F.count("*").alias("covered"), F.count_if(F.col("inside").isNull()).alias("outer")
-    )
-    return anchored.join(counts, "rep", "left").na.fill(0, ["covered", "outer"])
+    bucket = F.pmod(F.col("v"), F.lit(BUCKETS))
+    spread = F.array(*[F.count_if(bucket == b).cast("int") for b in range(BUCKETS)]).alias("spread")
+    counts = values.join(shared, "v").groupBy("rep").agg(F.count("*").alias("covered"), spread)
+    nothing = F.array_repeat(F.lit(0), BUCKETS)
+    own = reps.select("rep").join(counts, "rep", "left").na.fill(0, ["covered"])
+    return own.withColumn("spread", F.coalesce("spread", nothing))
 
 
 def _merge(listed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
@@ -218,32 +196,26 @@ def _merge(listed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int,
     labels = cut(listed.select("rep").distinct().withColumn("component", F.col("rep")), "labels")
     signed = classes.select("rep", "sketch").join(labels.select("rep"), "rep", "left_semi")
     signed = cut(signed, "signed")
-    # Until a set is known better, all of it may be shared, and it is its own anchor.
-    members = listed.withColumns({"covered": F.col("n"), "anchor": F.col("rep"), "inner": F.col("n"), "outer": F.col("n")})
-    known, tested, leaders = [c for c in members.columns if c not in BOUNDS], None, 1
+    # Until a set is known better, all of it may be shared.
+    members = listed.withColumns({"covered": F.col("n"), "spread": F.lit(None).cast("array<int>")})
+    tested, leaders = None, 1
     while True:
         now = cut(_open(members.join(labels, "rep"), percent), "members")
         if now.isEmpty():
             return labels
-        if tested is not None and leaders == LEADERS_GROW:
-            reps = cut(now.select("rep", "n").distinct(), "open")
-            bounds = cut(coverage(sets, anchors(tested, reps)), "bounds")
-            now = cut(_open(now.select(*known, "component").join(bounds, "rep"), percent), "members")
+        if leaders == LEADERS_GROW:
+            known = cut(coverage(sets, now.select("rep").distinct()), "coverage")
+            now = cut(_open(now.drop("covered", "spread").join(known, "rep"), percent), "members")
         sizes = now.groupBy("v", "component").agg(F.count("*").alias("size"))
         order = Window.partitionBy("v").orderBy("size", F.desc("common"), "rep")
         smallest = now.join(sizes, ["v", "component"]).withColumn("place", F.row_number().over(order))
-        lead = cut(smallest.where(F.col("place") <= leaders).select("v", "rep", "component", "n", *BOUNDS), "leaders")
+        lead = smallest.where(F.col("place") <= leaders).select("v", "rep", "component", "n", "covered", "spread")
+        lead = cut(lead, "leaders")
         pairs = _pairs(lead, now, percent)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        measured = cut(compared(estimated(pairs, signed, percent, k), sets, percent), "measured")
-        if tested is None:
-            tested = cut(pairs.join(measured.select("a", "b", "shared"), ["a", "b"], "left"), "tested")
-        else:
-            tested = tested.unionByName(pairs.withColumn("shared", F.lit(None).cast("bigint")))
-        links = measured.where("linked")
-        if not links.isEmpty():
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            links = verified(estimated(pairs, signed, percent, k), sets, percent)
             labels = _relabelled(labels, links)
         members = now.join(lead.select("v", "rep"), ["v", "rep"], "left_anti").drop("component")
         leaders *= LEADERS_GROW
@@ -267,14 +239,16 @@ def _pairs(lead: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
     Left out are pairs whose sizes, or the parts they can share at most, rule out a link.
     """
-    names = ["rep", "component", "n", *BOUNDS]
+    names = ["rep", "component", "n", "covered", "spread"]
     other = members.select("v", *[F.col(c).alias(f"{c}_b") for c in names])
-    same = F.least("inner", "inner_b") + F.least("outer", "outer_b")
-    most = F.least("covered", "covered_b", F.when(F.col("anchor") == F.col("anchor_b"), same))
+    need = percent * (F.col("n") + F.col("n_b"))
+    lower = F.zip_with("spread", "spread_b", lambda x, y: F.least(x, y))
+    most = F.aggregate(lower, F.lit(0), lambda total, x: total + x)
     met = other.join(lead, "v").where(
         (F.col("component") != F.col("component_b"))
         & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
-        & ((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")))
+        & ((100 + percent) * F.least("covered", "covered_b") >= need)
+        & (F.col("spread").isNull() | F.col("spread_b").isNull() | ((100 + percent) * most >= need))
     )
     return met.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
 
@@ -299,23 +273,23 @@ def estimated(pairs: DataFrame, signed: DataFrame, percent: int, k: int) -> Data
     return map_batches(both.select("a", "b", "sketch_a", "sketch_b"), "a bigint, b bigint", near)
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared, linked): the intersection of the full sets, and whether their Jaccard index reaches `percent`."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets have a Jaccard index of `percent` or more."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(right, "b").join(left, "a")
 
     def confirm(parts: Iterable[pa.RecordBatch]) -> Iterable[dict]:
         for batch in slices(parts, "set_b", 1 << 25):
-            shared, linked = [], []
+            keep = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 p, q = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
                 n = len(np.intersect1d(p, q, assume_unique=True))
-                shared.append(n)
-                linked.append(100 * n >= percent * (len(p) + len(q) - n))
-            yield {"a": batch.column("a"), "b": batch.column("b"), "shared": shared, "linked": linked}
+                keep.append(100 * n >= percent * (len(p) + len(q) - n))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield {"a": kept.column("a"), "b": kept.column("b")}
 
-    return map_stream(both.select("a", "b", "set_a", "set_b"), "a bigint, b bigint, shared bigint, linked boolean", confirm)
+    return map_stream(both.select("a", "b", "set_a", "set_b"), "a bigint, b bigint", confirm)
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def _wide(spark, sf):
 
 @query(_sql_corr(WIDE, SQL_WIDE))
 def corr_pairs_wide(spark, sf):
-    return _rounded(correlations(_wide(spark, sf), method="matrix"))
+    return _rounded(correlations(_wide(spark, sf)))
 
 
 # l_quantity goes first: it has no more nulls than its partners; then price before twice.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +38,8 @@ def present_sql(name: str, t: T.DataType) -> str:
 
 
 def _literal(x: float) -> str:
-    return f"({float(x)!r}D)"
+    """A number as SQL text; statistics of a column with infinite values may be infinite or NaN."""
+    return f"({float(x)!r}D)" if math.isfinite(x) else f"cast('{float(x)!r}' as double)"
 
 
 def standard_sql(c: str, mean: float | None, std: float | None) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.functions.values import col
-from martloom.learning.registry import BOOSTED, baseline, make
+from martloom.learning.registry import BOOSTED, baseline, make, make_for_classes
 from martloom.learning.tuning import SearchSpace, Tuning, tune
 from martloom.learning.validation import score_column
 from martloom.operators.ensemble import Search, search_weights, weighted_mean, weighted_sum
@@ -47,9 +47,12 @@ def train_and_evaluate(
     features = features or [c for c in df.columns if c not in (label, key)]
     sets = assemble(ratio_split(df, ratio, key), features, (key, label, "split"))
     sets = sets.withColumn("held", F.col("split") == "valid").withColumn(label, F.col(label).cast("double"))
-    binary = sets.agg(F.max(label)).first()[0] <= 1
-    kind = name if binary else "random_forest"
-    model = fit_with_validation(kind, "binary_classification", label, sets.where("split <> 'test'"), params)
+    n_classes = int(sets.agg(F.max(label)).first()[0]) + 1
+    known = sets.where("split <> 'test'")
+    if n_classes <= 2:
+        model = fit_with_validation(name, "binary_classification", label, known, params)
+    else:
+        model = make_for_classes(name, n_classes, label, **params).fit(known.where("not held"))
     plain = baseline(label).fit(sets.where("split = 'train'"))
     seen = model.transform(sets.where("split <> 'valid'")).select(F.col("split").alias("set"), label, "prediction")
     other = plain.transform(sets.where("split = 'test'")).select(F.lit("baseline").alias("set"), label, "prediction")

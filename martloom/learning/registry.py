@@ -36,6 +36,7 @@ REGRESSORS = {
     "random_forest": RandomForestRegressor,
     "gradient_boosting": GBTRegressor,
 }
+TWO_CLASSES = ("gradient_boosting", "linear_svm")
 # Names callers know boosted trees by. All train MLlib's boosted trees; the
 # parameters are the learning rate and depth these names stand for by default.
 BOOSTED = {
@@ -82,6 +83,18 @@ def make(
     return estimator
 
 
+def make_for_classes(name: str, n_classes: int, label: str = "label", features: str = "features", **params) -> Estimator:
+    """`make` for a label of `n_classes` values 0, 1, ...; families that know two classes go one against the rest.
+
+    One against the rest hands no other columns on, so it cannot stop early on marked rows.
+    """
+    if n_classes <= 2 or not (name in BOOSTED or name in TWO_CLASSES):
+        return make(name, "binary_classification", label, features, **params)
+    params.pop("validation", None)
+    one = make(name, "binary_classification", label, features, **params)
+    return OneVsRest(classifier=one, labelCol=label, featuresCol=features)
+
+
 def baseline(label: str = "label", features: str = "features") -> Estimator:
     """One-vs-rest logistic regression."""
     return OneVsRest(classifier=LogisticRegression(), labelCol=label, featuresCol=features)

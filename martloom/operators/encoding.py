@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -18,9 +19,6 @@ from martloom.operators.plan import Identity, Plan
 from martloom.operators.profile import ColumnStats, distinct_values
 from martloom.session import bounded_side, cut
 
-# One-hot columns a single category column may turn into.
-MAX_ONE_HOT = 5000
-
 
 @dataclass(frozen=True)
 class OneHotPlan:
@@ -46,20 +44,22 @@ class OneHotPlan:
 
 
 def fit_one_hot(
-    df: DataFrame, columns: list[str], null_label: str = "null", as_boolean: bool = False, limit: int = MAX_ONE_HOT
+    df: DataFrame, columns: list[str], null_label: str = "null", as_boolean: bool = False, limit: int | None = None
 ) -> OneHotPlan:
-    """Learn the values of each column. More than `limit` values is an error, not a cut."""
+    """Learn the values of each column; with a `limit` more values than that are an error, not a cut."""
     if not columns:
         return OneHotPlan((), null_label, as_boolean)
-    found = distinct_values(df, columns, limit + 1)
+    found = distinct_values(df, columns, sys.maxsize if limit is None else limit + 1)
     wide = [c for c in columns if found[c].values is None]
     if wide:
         raise ValueError(f"more than {limit} values in {wide}: drop or label-encode these columns")
-    names = [f"{c}_{v}" for c in columns for v in found[c].values]
+    names = [c for c in df.columns if c not in columns]
+    for c in columns:
+        names += [f"{c}_{v}" for v in found[c].values] + [f"{c}_{null_label}"] * (found[c].n_null > 0)
     if df.sparkSession.conf.get("spark.sql.caseSensitive") != "true":
         names = [n.lower() for n in names]
     if len(set(names)) < len(names):
-        raise ValueError("one-hot column names clash; set spark.sql.caseSensitive to true")
+        raise ValueError("one-hot column names clash; rename values or set spark.sql.caseSensitive to true")
     return OneHotPlan(tuple((c, tuple(d.values), d.n_null > 0) for c, d in found.items()), null_label, as_boolean)
 
 
@@ -110,21 +110,24 @@ class Encode:
     """Chain stage: one-hot every categorical column, turn every date into features."""
 
     features: tuple[str, ...] = ("unix",)
+    limit: int | None = None
 
     def fit(self, df: DataFrame) -> Plan:
         if df.isEmpty():
             return Identity()
         categories = [f.name for f in df.schema.fields if is_categorical(f)]
-        return EncodingPlan(fit_one_hot(df, categories), fit_dates(df, self.features))
+        return EncodingPlan(fit_one_hot(df, categories, limit=self.limit), fit_dates(df, self.features))
 
 
 @dataclass(frozen=True)
 class OneHotBoolean:
     """Chain stage: every string column to boolean columns, null as `{column}_nan`."""
 
+    limit: int | None = None
+
     def fit(self, df: DataFrame) -> Plan:
         texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-        return fit_one_hot(df, texts, null_label="nan", as_boolean=True)
+        return fit_one_hot(df, texts, null_label="nan", as_boolean=True, limit=self.limit)
 
 
 # -- label encoding -----------------------------------------------------------
@@ -167,7 +170,7 @@ class PcaPlan:
         out = []
         for i, weights in enumerate(self.loadings):
             terms = [
-                (col(c).cast("int") - F.lit(m)) * F.lit(w) for c, m, w in zip(self.columns, self.mean, weights) if w
+                (F.coalesce(col(c).cast("int"), F.lit(0)) - F.lit(m)) * F.lit(w) for c, m, w in zip(self.columns, self.mean, weights) if w
             ]
             total = F.lit(0.0)
             for term in terms:
@@ -180,7 +183,9 @@ class PcaPlan:
 class ReduceBooleans:
     """Chain stage: the boolean columns to round(sqrt(n)) principal components.
 
-    Components are centred and signed so that the largest loading is positive.
+    Components are centred and signed so that the first of the largest loadings is positive;
+    loadings within rounding of the largest count as equal, so the sign does not depend on
+    how rows are partitioned. A missing flag counts as false.
     """
 
     def fit(self, df: DataFrame) -> Plan:
@@ -193,7 +198,8 @@ class ReduceBooleans:
         centred = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c").fit(vectors)
         model = PCA(k=k, inputCol="c", outputCol="p").fit(centred.transform(vectors))
         pc = model.pc.toArray()
-        signed = [column * (1.0 if column[abs(column).argmax()] >= 0 else -1.0) for column in pc.T]
+        leads = [column[int((abs(column) >= abs(column).max() - 1e-9).argmax())] for column in pc.T]
+        signed = [column * (1.0 if lead >= 0 else -1.0) for column, lead in zip(pc.T, leads)]
         return PcaPlan(
             tuple(flags), tuple(float(x) for x in centred.mean), tuple(tuple(float(x) for x in c) for c in signed)
         )

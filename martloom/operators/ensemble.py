@@ -37,11 +37,11 @@ def plain_mean(models: list[str]) -> Column:
 
 
 def wide_predictions(predictions: dict[str, DataFrame], key: str, value: str = "score") -> DataFrame:
-    """One column per model from per-model (key, value) tables."""
+    """One column per model from per-model (key, value) tables; a missing prediction is null."""
     out = None
     for name, table in predictions.items():
         part = table.select(key, col(value).alias(name))
-        out = part if out is None else out.join(part, key)
+        out = part if out is None else out.join(part, key, "full")
     return out
 
 
@@ -81,7 +81,7 @@ def gini_of_weights(df: DataFrame, target: str, models: list[str], trials: list[
         ]
     )
     spread = df.select(col(target).alias("y"), F.inline(scores))
-    ranges = fit_score_ranges(spread, "score", df.count() * len(chosen))
+    ranges = fit_score_ranges(spread, "score")
     table = auc(spread, "y", "score", ("rank_id",), ranges)
     pairs = df.sparkSession.createDataFrame(links, "trial int, rank_id int, sign double")
     return table.join(F.broadcast(pairs), "rank_id").select(

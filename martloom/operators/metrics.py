@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -81,11 +82,6 @@ def metrics_table(df: DataFrame, truth: str, prediction: str, set_column: str) -
 
 # -- ranking ------------------------------------------------------------------
 
-# Most score ranges a table is ranked in, and rows per range.
-SCORE_RANGES = 4096
-RANGE_ROWS = 1_000_000
-
-
 @dataclass(frozen=True)
 class ScoreRanges:
     """Inner bounds of score ranges that hold about equally many rows."""
@@ -99,16 +95,18 @@ class ScoreRanges:
         return Bucketizer(splits=splits, inputCol=score, outputCol=name, handleInvalid="keep").transform(df)
 
 
-def fit_score_ranges(df: DataFrame, score: str, n_rows: int | None = None) -> ScoreRanges:
-    """Quantile bounds for tables that one sort should not hold; none for smaller ones."""
-    n_rows = df.count() if n_rows is None else n_rows
-    ranges = min(SCORE_RANGES, n_rows // RANGE_ROWS)
+def fit_score_ranges(df: DataFrame, score: str, ranges: int | None = None) -> ScoreRanges:
+    """Quantile bounds of as many ranges as there are shuffle partitions, whatever the size of the table.
+
+    So a range grows with the rows of a task, not with the table.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if ranges < 2:
         return ScoreRanges(())
     at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    accuracy = max(10_000, 10 * ranges)
-    found = df.agg(F.percentile_approx(col(score).cast("double"), at, accuracy).alias("q")).first()["q"]
-    return ScoreRanges(tuple(sorted(set(found))))
+    value = F.nanvl(col(score).cast("double"), F.lit(None))
+    found = df.agg(F.percentile_approx(value, at, F.lit(50 * ranges)).alias("q")).first()["q"]
+    return ScoreRanges(tuple(sorted(x for x in set(found or []) if math.isfinite(x))))
 
 
 def auc(
@@ -210,8 +208,8 @@ def gini_stability(
 
 
 def attach_scores(base: DataFrame, scores: DataFrame, key: str) -> DataFrame:
-    """The stored base table with new scores by key."""
-    return base.join(scores, key)
+    """The stored base table with new scores by key; a row without one gets a null score."""
+    return base.join(scores, key, "left")
 
 
 # -- regression ---------------------------------------------------------------

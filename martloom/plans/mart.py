@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martloom.functions.values import col, is_numeric
 from martloom.operators.combine import merge_features
@@ -69,6 +70,16 @@ def merge_tables(spark: SparkSession, targets: dict[str, str], key: str = KEY) -
     return merge_features(spark.read.parquet(targets[base]), others, key, empty)
 
 
+def numeric_features(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """`df` with flags as numbers, null staying null; a feature of any other kind is an error."""
+    kinds = {c: df.schema[c].dataType for c in names}
+    flags = [c for c, t in kinds.items() if isinstance(t, T.BooleanType)]
+    other = [c for c, t in kinds.items() if c not in flags and not is_numeric(t)]
+    if other:
+        raise ValueError(f"features that are neither numbers nor flags: {other}")
+    return df.withColumns({c: col(c).cast("float") for c in flags}), names
+
+
 @dataclass(frozen=True)
 class MartResult:
     train: DataFrame
@@ -90,7 +101,7 @@ def build_mart(
     A test split, where there is one, is aligned to the training columns.
     """
     train = merge_tables(spark, process_tables(spark, table_paths(root, "train", tables), f"{out}/train"), key)
-    features = [c for c in feature_columns(train) if is_numeric(train.schema[c].dataType)]
+    train, features = numeric_features(train, feature_columns(train))
     sets = group_split(train, key, seed)
     vectors = assemble(sets, features, (key, WEEK, TARGET, "split"), narrow=True)
     vectors = vectors.withColumn(TARGET, F.col(TARGET).cast("short"))

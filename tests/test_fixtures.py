@@ -172,11 +172,10 @@ def test_category_count(spark):
     assert DropHighCardinality(threshold=4).fit(more).apply(more).columns == ["col3"]
 
 
-@pytest.mark.parametrize("method", ["sql", "matrix"])
-def test_correlated(spark, method):
+def test_correlated(spark):
     rows = [(1, 1, 1), (2, 2, 2), (3, None, 3), (4, 4, 4), (None, 5, 5)]
     df = spark.createDataFrame(rows, "col1 bigint, col2 bigint, col3 bigint")
-    found = {(r["col1"], r["col2"]): r["corr"] for r in correlations(df, method=method).collect()}
+    found = {(r["col1"], r["col2"]): r["corr"] for r in correlations(df).collect()}
     assert found == {("col1", "col2"): pytest.approx(1), ("col1", "col3"): pytest.approx(1), ("col2", "col3"): pytest.approx(1)}
     assert DropCorrelated().fit(df).apply(df).columns == ["col2"]
     assert DropCorrelated(prefer="fewest_nulls").fit(df).apply(df).columns == ["col3"]

@@ -7,17 +7,20 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martloom.operators.aggregation import Aggregate
 from martloom.operators.combine import merge_features, supertype, union_relaxed
-from martloom.operators.correlation import correlations
+from martloom.learning.registry import make_for_classes
+from martloom.operators.correlation import DropCorrelated, correlations
 from martloom.operators.encoding import OneHotBoolean, ReduceBooleans, fit_one_hot, label_codes
-from martloom.operators.ensemble import gini_of_weights, grid, search_weights
+from martloom.operators.ensemble import gini_of_weights, grid, search_weights, wide_predictions
 from martloom.operators.filters import align, remove_rows
 from martloom.operators.metrics import (
     ScoreRanges,
+    attach_scores,
     auc,
     classification_metrics,
     fit_score_ranges,
@@ -30,6 +33,7 @@ from martloom.operators.profile import distinct_values, proves_at_least
 from martloom.operators.scaling import Scale
 from martloom.operators.splits import folds, group_split, ladder, ratio_split, stratified_folds, stratified_sample
 from martloom.plans.chain import Chain
+from martloom.plans.mart import numeric_features
 from martloom.plans.steps import step1, step2, step3
 
 
@@ -76,11 +80,12 @@ def test_auc_with_a_missing_score_or_target_is_null(spark, bounds):
     assert got == {"ok": 1.0, "a": None, "b": None, "c": None}
 
 
-def test_score_ranges_split_only_large_tables(spark):
+def test_score_ranges_follow_the_partitions(spark):
     df = spark.range(10).select(F.col("id").cast("double").alias("s"))
-    assert fit_score_ranges(df, "s") == ScoreRanges(())
-    bounds = fit_score_ranges(df, "s", n_rows=5_000_000).bounds
-    assert len(bounds) == 4 and list(bounds) == sorted(bounds)
+    assert fit_score_ranges(df, "s", 1) == ScoreRanges(())
+    for ranges in (5, None):
+        bounds = fit_score_ranges(df, "s", ranges).bounds
+        assert len(bounds) == (ranges or 8) - 1 and list(bounds) == sorted(bounds)
 
 
 def test_gini_by_period_leaves_one_class_periods_null(scored):
@@ -267,15 +272,77 @@ def test_boolean_one_hot_names(spark):
 # -- correlation --------------------------------------------------------------
 
 
-@pytest.mark.parametrize("method", ["sql", "matrix"])
-def test_correlations_against_numpy(spark, method):
+def test_partners_far_from_the_mean_of_their_column(spark):
+    rng = np.random.default_rng(1)
+    far = rng.normal(1e7, 1, 100)
+    rows = [(0.0, None) for _ in range(20_000)] + [(float(v), float(3 * v + rng.normal())) for v in far]
+    two = spark.createDataFrame(rows, "x double, y double").repartition(4)
+    five = two.withColumns({c: F.rand(3) for c in ("a", "b", "c")})
+    expected = np.corrcoef([r[0] for r in rows[-100:]], [r[1] for r in rows[-100:]])[0, 1]
+    for df in (two, five):
+        got = {(r["col1"], r["col2"]): r["corr"] for r in correlations(df).collect()}
+        assert got["x", "y"] == pytest.approx(expected, rel=1e-6)
+
+
+def test_an_infinite_value_drops_no_column_and_stops_no_scaling(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (float("inf"), 3.0)], "x double, y double")
+    assert DropCorrelated(threshold=0.5, absolute=True).fit(df).apply(df).columns == ["x", "y"]
+    assert Scale().fit(df).apply(df).count() == 3
+
+
+def test_one_hot_names_that_clash_are_an_error(spark):
+    df = spark.createDataFrame([("null", 1), (None, 2)], "f string, n int")
+    with pytest.raises(ValueError, match="clash"):
+        fit_one_hot(df, ["f"])
+    df = spark.createDataFrame([("a", 1)], "f string, f_a int")
+    with pytest.raises(ValueError, match="clash"):
+        fit_one_hot(df, ["f"])
+
+
+def test_one_hot_beyond_five_thousand_values(spark):
+    df = spark.range(6000).select(F.format_string("v%04d", "id").alias("c"))
+    assert len(fit_one_hot(df, ["c"]).values[0][1]) == 6000
+
+
+def test_components_of_equal_flags_and_missing_ones(spark):
+    rows = [(True, False), (False, True), (True, False), (None, True)] * 5
+    df = spark.createDataFrame(rows, "a boolean, b boolean")
+    plans = {ReduceBooleans().fit(df.repartition(n)).loadings[0][0] > 0 for n in (1, 2, 3, 5)}
+    assert plans == {True}
+    assert ReduceBooleans().fit(df).apply(df).where("x_0 is null").count() == 0
+
+
+def test_rows_without_a_score_stay(spark):
+    base = spark.createDataFrame([(1, 0), (2, 1)], "k int, y int")
+    scores = spark.createDataFrame([(1, 0.5)], "k int, s double")
+    assert attach_scores(base, scores, "k").count() == 2
+    wide = wide_predictions({"a": scores.withColumnRenamed("s", "score"), "b": base.selectExpr("k", "y / 2.0 as score")}, "k")
+    assert wide.where("a is null").count() == 1 and wide.count() == 2
+
+
+def test_flags_are_features_and_texts_are_an_error(spark):
+    df = spark.createDataFrame([(1, True, "x"), (2, None, "y")], "n int, flag boolean, t string")
+    out, names = numeric_features(df, ["n", "flag"])
+    assert names == ["n", "flag"] and [r["flag"] for r in out.orderBy("n").collect()] == [1.0, None]
+    with pytest.raises(ValueError, match="neither"):
+        numeric_features(df, ["n", "t"])
+
+
+def test_a_family_is_kept_for_three_classes(spark):
+    rows = [(float(i), float(i % 3)) for i in range(60)]
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame(rows, "x double, label double"))
+    for name, kind in (("logistic_regression", "LogisticRegressionModel"), ("LGBMClassifier", "OneVsRestModel")):
+        assert type(make_for_classes(name, 3, maxIter=2).fit(df)).__name__ == kind
+
+
+def test_correlations_against_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 4))
     x[:, 1] += x[:, 0] * 2
     x[:, 3] = 1e6 + x[:, 3]
     rows = [tuple(None if rng.random() < 0.1 else float(v) for v in r) + (3.25,) for r in x]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double, flat double").repartition(5)
-    got = {(r["col1"], r["col2"]): r["corr"] for r in correlations(df, method=method).collect()}
+    got = {(r["col1"], r["col2"]): r["corr"] for r in correlations(df).collect()}
     assert len(got) == 10
     names = "abcd"
     for i in range(4):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from martloom.functions.values import col
 from martloom.operators.narrowing import fit_new_columns
 from martloom.operators.plan import Identity, Plan, Stage
+from martloom.session import cut
 
 TableFunction = Callable[[DataFrame], DataFrame]
 
@@ -40,7 +41,9 @@ class ChainPlan:
 class Chain:
     """Stages or table functions in order; a table without rows passes unchanged.
 
-    Fitting a stage runs its statistics job on the lazy result of the stages before it.
+    The result of the first fitted stage is written once, and the statistics of the stages
+    after it, as well as the result, start from there: neither the input (a join, say) nor
+    the parsing of texts runs again for every stage.
     """
 
     steps: tuple[Stage | TableFunction, ...]
@@ -50,7 +53,10 @@ class Chain:
         if df.isEmpty():
             return ChainPlan((Identity(),)), df
         plans: list[Plan] = []
-        for step in self.steps:
+        fitted = [i for i, step in enumerate(self.steps) if hasattr(step, "fit_apply") or hasattr(step, "fit")]
+        for i, step in enumerate(self.steps):
+            if fitted[1:2] == [i]:
+                df = cut(df, "chain")
             if hasattr(step, "fit_apply"):
                 plan, df = step.fit_apply(df)
             else:

@@ -261,10 +261,12 @@ def ensemble_scores(spark, sf):
     )
 
 
-@query(f"select key, m1, m3 from ({SQL_PREDICTIONS})")
+@query(f"select key, m1, case when m2 >= 0.5 then m2 end as m2, m3 from ({SQL_PREDICTIONS})")
 def ensemble_wide(spark, sf):
+    """Three models, of which the second has predicted some of the rows only."""
     rows = predictions(spark, sf)
-    parts = {m: rows.select("key", F.col(m).alias("score")) for m in ("m1", "m3")}
+    parts = {m: rows.select("key", F.col(m).alias("score")) for m in MODELS}
+    parts["m2"] = parts["m2"].where("score >= 0.5")
     return wide_predictions(parts, "key")
 
 

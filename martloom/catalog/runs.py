@@ -118,9 +118,10 @@ def metrics_files(spark, sf):
 def _log(spark, sf):
     path = scratch_path(spark, "run-log")
     events = table(spark, sf, "events")
-    for kind in ("click", "view"):
+    clicks = F.coalesce(F.col("event_type") == "click", F.lit(False))
+    for part in (clicks, ~clicks):
         append_runs(
-            events.where(F.col("event_type") == kind).select(
+            events.where(part).select(
                 F.col("ts").cast("timestamp").alias("start_time"),
                 F.col("event_type").alias("model"),
                 F.col("value").alias("metrics.auc"),
@@ -134,7 +135,7 @@ def _log(spark, sf):
 
 @query("""
 select value as auc, user_id / 4 as gini from events
-where event_type in ('click', 'view') and ts > timestamp '2024-01-15 00:00:00'
+where ts > timestamp '2024-01-15 00:00:00'
 """)
 def run_log_after(spark, sf):
     return runs_after(_log(spark, sf), F.to_timestamp(F.lit("2024-01-15 00:00:00")))
@@ -142,7 +143,7 @@ def run_log_after(spark, sf):
 
 @query(f"""
 select event_type as model, {sql_r6("avg(value)")} as auc, count(*) as n from events
-where event_type in ('click', 'view') and ts > timestamp '2024-01-15 00:00:00' group by event_type
+where ts > timestamp '2024-01-15 00:00:00' group by event_type
 """)
 def run_log_by_model(spark, sf):
     runs = runs_after(_log(spark, sf), F.to_timestamp(F.lit("2024-01-15 00:00:00")), ("model",))

@@ -118,7 +118,7 @@ def temporal_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """(gini per step, stability): each period from the second on is scored by a model
     trained on all periods before it. `hard` scores by predicted class."""
-    data = cut(df, "periods")
+    data = cut(df, "periods", (period,))
     periods = [r[0] for r in data.select(col(period)).distinct().orderBy(col(period)).collect()]
 
     def step(week) -> DataFrame:

@@ -17,7 +17,7 @@ from martloom.functions.values import col
 from martloom.operators.narrowing import Narrowing, NarrowPlan, is_categorical, number_type
 from martloom.operators.plan import Identity, Plan
 from martloom.operators.profile import ColumnStats, distinct_values
-from martloom.session import bounded_side, cut
+from martloom.session import cut, written_side
 
 
 @dataclass(frozen=True)
@@ -152,7 +152,7 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
 
 def label_encode(df: DataFrame, column: str) -> DataFrame:
     """Replace `column` by `encoded_{column}`."""
-    codes = bounded_side(label_codes(df, column).withColumnsRenamed({"value": column, "code": f"encoded_{column}"}))
+    codes = written_side(label_codes(df, column).withColumnsRenamed({"value": column, "code": f"encoded_{column}"}))
     return df.join(codes, column, "left").drop(column)
 
 

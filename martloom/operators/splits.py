@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 
 from martloom.functions.hashing import order_hash, order_text
 from martloom.functions.values import col
-from martloom.session import bounded_side, cut
+from martloom.session import cut, written_side
 
 BUCKET_DIGITS = 4  # leading hex digits that make a bucket: at most 16^4 per stratum
 SEED = 42  # fixed value
@@ -95,7 +95,7 @@ def fit_cuts(
     edges = wanted.where(hit).select(
         *names, "b", "piece", (F.col("target") - F.col("upto") + F.col("n")).alias("rest")
     )
-    edges = bounded_side(edges, "edges")
+    edges = written_side(edges, "edges")
     on = rows["b"] == edges["b"]
     for n in names:
         on = on & rows[n].eqNullSafe(edges[n])
@@ -117,7 +117,7 @@ def fit_cuts(
         row = found.agg(F.array(*hashes).alias("hashes"), F.array(*keys).alias("keys")).first()
         return CutPlan(key, seed, (), None, tuple(zip(row["hashes"], row["keys"])), pieces)
     cuts = found.groupBy(*names).agg(F.array(*hashes).alias("hashes"), F.array(*keys).alias("keys"))
-    return CutPlan(key, seed, strata, bounded_side(cuts, "cuts"), None, pieces)
+    return CutPlan(key, seed, strata, written_side(cuts, "cuts"), None, pieces)
 
 
 def hash_bucket(key: str, buckets: int, seed: int = SEED) -> Column:

@@ -6,13 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from martloom.functions.values import quoted
 
-# Rows of a side that may be broadcast after having been counted on the driver.
-MAX_BROADCAST_ROWS = 10_000
-
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -70,13 +66,9 @@ def cut(df: DataFrame, name: str = "cut", partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*[quoted(c) for c in df.columns])
 
 
-def bounded_side(df: DataFrame, name: str = "side") -> DataFrame:
-    """`df` as a join side: broadcast when counted small, else a written table.
+def written_side(df: DataFrame, name: str = "side") -> DataFrame:
+    """`df` as a join side: written, so it is computed once and its size in bytes is known.
 
-    The rows are fetched up to the bound, so the broadcast size is known. Beyond the
-    bound the side goes to the shared folder and the join is left to Catalyst.
+    Catalyst broadcasts it below its own limit and shuffles it beyond.
     """
-    rows = df.limit(MAX_BROADCAST_ROWS + 1).collect()
-    if len(rows) <= MAX_BROADCAST_ROWS:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     return cut(df, name)

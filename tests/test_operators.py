@@ -196,8 +196,7 @@ def test_splits_do_not_depend_on_partitions_or_row_order(spark):
     assert a == b
 
 
-def test_many_strata_take_the_join_instead_of_the_broadcast(spark, monkeypatch):
-    monkeypatch.setattr("martloom.session.MAX_BROADCAST_ROWS", 10)
+def test_many_strata(spark):
     df = spark.range(2000).withColumn("label", F.col("id") % 50)
     drawn = stratified_sample(df, "label", 0.5, "id")
     assert {r["count"] for r in drawn.groupBy("label").count().collect()} == {20}

@@ -76,6 +76,8 @@ def make(
     **params,
 ) -> Estimator:
     """An estimator from its family name, start parameters and overrides."""
+    if name == "perceptron" and "layers" not in params:
+        raise ValueError("a perceptron needs `layers`: sizes from the number of features to the number of classes")
     settings = init_params(name) | fit_params(name, validation) | params
     estimator = family(name, task)(featuresCol=features, labelCol=label, **settings)
     if estimator.hasParam("seed") and "seed" not in params:

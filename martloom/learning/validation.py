@@ -30,11 +30,14 @@ PARALLEL = 4
 
 
 def score_column(scored: DataFrame) -> Column:
-    """Probability of class 1, the margin of a machine without one, or the value."""
+    """Probability of class 1, the logistic of the margin of a machine without one, or the value.
+
+    All lie between 0 and 1 and rank rows as the model does, so they can be averaged.
+    """
     if "probability" in scored.columns:
         return vector_to_array("probability")[1]
     if "rawPrediction" in scored.columns:
-        return vector_to_array("rawPrediction")[1]
+        return 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
     return F.col("prediction")
 
 

@@ -51,7 +51,8 @@ def test_ids_are_those_of_the_library(kind, texts):
     pieces, rng = Pieces(default_model(), kind), random.Random(5)
     letters = "ab  é你\n\tT.,!the ing\U0001f600\x00'"
     some = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(2000)]
-    some += [t for t in texts.values() if kind == "bpe" or len(t) < 300]
+    # Beyond a few words the library sums scores in single precision, so only merging is compared on whole texts.
+    some += list(texts.values()) if kind == "bpe" else []
     for text, ids in zip(some, pieces.encode(some), strict=True):
         own = np.frombuffer(ids, "<u4").tolist()
         assert own == model.encode(text)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -107,6 +108,50 @@ def test_added_spans_touch_no_base_span_and_need_a_reason(spark, persons):
     assert out[2].pii_spans == out[3].pii_spans == []
 
 
+BESIDE_OTHERS = {
+    "card 4111 1111 1111 1111 12/27": [("card", "4111 1111 1111 1111")],
+    "card 4111 1111 1111 1111 123 4": [("card", "4111 1111 1111 1111")],
+    "4111 1111 1111 1111 5500 0000 0000 0004": [("card", "4111 1111 1111 1111"), ("card", "5500 0000 0000 0004")],
+    "tel 555-123-4567 555-987-6543": [("phone", "555-123-4567"), ("phone", "555-987-6543")],
+    "555-123-4567 2024-01-01": [("phone", "555-123-4567")],
+}
+
+
+def test_numbers_beside_numbers_are_proposed_and_chosen(spark, persons):
+    trees = pii.fit(persons, "doc_id", F.coalesce("text", F.lit("")))
+    df = spark.createDataFrame([(t,) for t in BESIDE_OTHERS], "text string")
+    found = pii.with_proposals(pii.with_base(df, F.col("text")))
+    for r in found.collect():
+        assert set(BESIDE_OTHERS[r.text]) <= {(pii.KINDS[c.kind], c.match) for c in r.pii_found}
+        assert all(r.text[c.start : c.end] == c.match for c in r.pii_found)
+    for r in pii.with_spans(df, F.col("text"), trees).collect():
+        assert [(k, r.text[a:b]) for k, a, b in spans_of(r, "pii_spans")] == BESIDE_OTHERS[r.text]
+
+
+def test_number_proposals_as_brute_force(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(["1", "23", "4567", "89012345", " ", "-", ".", "(", ")", "+", "x", "é", "😀", "\n"], k=60)) for _ in range(40)]
+    sizes = {"card": (r"[0-9](?:[ .-]{0,2}[0-9])*", 13, 19), "phone": (r"[+(]?[0-9](?:[ ().-]{0,3}[0-9])*", 7, 15)}
+    df = spark.createDataFrame([(t,) for t in texts], "pii_text string").withColumn("pii_any", F.lit(True))
+    for r in pii.with_numbers(df, "found").collect():
+        t, expected = r.pii_text, set()
+        for kind, (pattern, low, high) in sizes.items():
+            edge = "[0-9]" if kind == "card" else "[0-9A-Za-z]"
+            for m in re.finditer("(?<![0-9])[0-9]", t):
+                a = m.start()
+                if kind == "phone" and re.search(r"(?<![0-9A-Za-z])[+(]\Z", t[:a]):
+                    a -= 1
+                if kind == "phone" and re.search(r"[0-9A-Za-z]\Z", t[:a]):
+                    continue
+                for b in range(a + 1, min(len(t), a + 80) + 1):
+                    n = len(re.sub("[^0-9]", "", t[a:b]))
+                    if low <= n <= high and re.fullmatch(pattern, t[a:b]) and not re.match(edge, t[b:]):
+                        expected.add((kind, a, b, t[a:b], t[max(0, m.start() - 24) : a], t[b : b + 1]))
+        # The text is read behind a line break, which stands in front of the first characters.
+        seen = {(pii.KINDS[c.kind], c.start, c.end, c.match, c.before.lstrip("\n"), c.after) for c in r.found}
+        assert seen == {(k, a, b, m, x.lstrip("\n"), y) for k, a, b, m, x, y in expected}
+
+
 def test_positions_in_long_texts(spark):
     text = "é1.1.1.1 " * 3000 + "x" * 50_000 + "1" * 20_000 + " end a@b.c"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

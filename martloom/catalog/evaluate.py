@@ -290,6 +290,14 @@ def ensemble_search(spark, sf):
     return spark.createDataFrame([(round(found.score, 6), found.n_trials)], "gini double, n_trials int")
 
 
+@query()
+def ensemble_search_full(spark, sf):
+    """The grid, then draws until `PATIENCE` trials bring no gain; ranking every trial is too much for SQL."""
+    found = search_weights(predictions(spark, sf), "y", MODELS)
+    row = (list(found.weights), round(found.score, 6), found.n_trials)
+    return spark.createDataFrame([row], "weights array<double>, gini double, n_trials int")
+
+
 def _drawn(n: int):
     source = draws(3)
     return [next(source) for _ in range(n)]

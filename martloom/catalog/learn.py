@@ -235,8 +235,7 @@ def select_and_ensemble(spark, sf):
     rows = ratio_split(_vectors(spark, sf, FEATURES), "6:2:2", "key")
     train, valid, test = (rows.where(F.col("split") == s).drop("split") for s in ("train", "valid", "test"))
     tree = SearchSpace(base={"default": {"maxDepth": 3}})
-    found = select_model(train, valid, {"XGBClassifier": SMALL, "decision_tree": tree}, "y", "key", n_trials=1, k=2,
-                         max_ensemble_trials=9)
+    found = select_model(train, valid, {"XGBClassifier": SMALL, "decision_tree": tree}, "y", "key", n_trials=1)
     return found.predict_ensemble(test, "key")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter
+from itertools import chain, islice
 
 import numpy as np
 import pytest
@@ -11,12 +12,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from __spark_entry__ import queries
+from martloom.catalog.common import MODELS, predictions
 from martloom.operators.aggregation import Aggregate
 from martloom.operators.combine import merge_features, supertype, union_relaxed
 from martloom.learning.registry import make_for_classes
 from martloom.operators.correlation import DropCorrelated, correlations
 from martloom.operators.encoding import OneHotBoolean, ReduceBooleans, fit_one_hot, label_codes
-from martloom.operators.ensemble import gini_of_weights, grid, search_weights, wide_predictions
+from martloom.operators.ensemble import PATIENCE, draws, gini_of_weights, grid, search_weights, wide_predictions
 from martloom.operators.filters import align, remove_rows
 from martloom.operators.metrics import (
     ScoreRanges,
@@ -140,6 +143,40 @@ def test_search_stops_without_gain_and_regression_minimises(spark):
     assert again == found
 
 
+def searched(y, m, patience):
+    """Grid and draws one after another, in batches of 64: best weights, Gini, its place, trials."""
+    source, best, at, done = chain(grid(m.shape[1]), draws(m.shape[1])), -2.0, 0, 0
+    while done - at <= patience:
+        for i, w in enumerate(islice(source, 64), done):
+            score = sum(x * m[:, j] for j, x in enumerate(w)) / len(w)
+            one, none = score[y == 1], np.sort(score[y != 1])
+            below = np.searchsorted(none, one, "left") + np.searchsorted(none, one, "right")
+            gini = below.sum() / (len(one) * len(none)) - 1
+            if gini > best + 1e-12:
+                best, at, weights = gini, i, w
+        done += 64
+    return weights, best, at, done
+
+
+def test_search_finds_a_draw_better_than_the_grid(spark):
+    rng = random.Random(5)
+    rows = [(rng.random(), rng.random()) for _ in range(300)]
+    rows = [(int(0.3 * a + 0.8 * b > 0.5), a, b) for a, b in rows]
+    weights, best, at, done = searched(np.array([r[0] for r in rows]), np.array([r[1:] for r in rows]), 100)
+    found = search_weights(spark.createDataFrame(rows, "y int, a double, b double"), "y", ["a", "b"], patience=100)
+    assert at >= len(grid(2)) and (found.weights, found.n_trials) == (weights, done)
+    assert found.score == pytest.approx(best)
+
+
+def test_registered_search_goes_on_after_the_grid(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in predictions(spark, sf).select("y", *MODELS).collect()]
+    weights, best, _, done = searched(np.array([r[0] for r in rows]), np.array([r[1:] for r in rows], dtype=float), PATIENCE)
+    got = queries()["ensemble_search_full"](spark, sf).first()
+    assert (got.gini, got.n_trials, tuple(got.weights)) == (pytest.approx(best, abs=1e-6), done, weights)
+    assert done > 1000
+
+
 # -- splits -------------------------------------------------------------------
 
 

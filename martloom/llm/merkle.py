@@ -4,9 +4,9 @@ Rows are leaves of one tree per group (`tree`); the roots of those trees are the
 last tree. While more than one node remains, each two consecutive nodes, or a last one alone,
 become the hash of their hex digests.
 
-A tree is held in aligned blocks of 2**LEVELS nodes. The nodes of a block are made in one
+A tree is held in aligned blocks of 2**levels nodes. The nodes of a block are made in one
 task, whatever the size of the tree, and its root is one node of the next round of blocks,
-so n leaves take log(n) / LEVELS rounds and each round is 2**LEVELS times smaller. What a
+so n leaves take log2(n) / levels rounds and each round is 2**levels times smaller. What a
 node meets on its way up within its block is its path; the paths of all rounds, put together
 by joins on the block, lead from a block of leaves to the root of everything.
 
@@ -125,22 +125,25 @@ def leaves(
 
 @dataclass(frozen=True)
 class Manifest:
-    """`blocks` (tree, block, alone, nodes) hold the leaves in order, `paths` (tree, block, path,
+    """`blocks` (tree, block, levels, nodes) hold the leaves in order, `paths` (tree, block, path,
     subroot, root) what the root of each block meets on its way to the root of everything."""
 
     blocks: DataFrame
     paths: DataFrame
 
 
-def _blocked(nodes: DataFrame, values: list[str]) -> DataFrame:
-    """(tree, block, alone, nodes): at most 2**LEVELS consecutive nodes a row, written."""
+def _blocked(nodes: DataFrame, values: list[str], levels: int) -> DataFrame:
+    """(tree, block, levels, nodes): at most 2**levels consecutive nodes a row, written.
+
+    `levels` is null for the only block of a tree, which ends where one node remains.
+    """
     sizes = nodes.groupBy("tree").agg(F.max("pos").alias("last"))
-    block = F.shiftright("pos", LEVELS)
+    block = F.shiftright("pos", levels)
     grouped = nodes.groupBy("tree", block.alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("pos", *values))).alias("nodes")
     )
-    alone = F.shiftright("last", LEVELS) == 0
-    return cut(grouped.join(cut(sizes, "sizes"), "tree").select("tree", "block", alone.alias("alone"), "nodes"), "blocks")
+    high = F.when(F.shiftright("last", levels) > 0, F.lit(levels))
+    return cut(grouped.join(cut(sizes, "sizes"), "tree").select("tree", "block", high.alias("levels"), "nodes"), "blocks")
 
 
 def _of(batch: pa.RecordBatch, field: str) -> list[list]:
@@ -150,16 +153,15 @@ def _of(batch: pa.RecordBatch, field: str) -> list[list]:
     return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _levels(batch: pa.RecordBatch) -> list[int | None]:
-    return [None if alone else LEVELS for alone in batch.column("alone").to_pylist()]
+def _made(batch: pa.RecordBatch) -> list[Block]:
+    return [Block(n, levels) for n, levels in zip(_of(batch, "leaf"), batch.column("levels").to_pylist(), strict=True)]
 
 
 def _roots(blocks: DataFrame) -> DataFrame:
     """(tree, pos, leaf): the root of each block as a node of the next round."""
 
     def roots(batch: pa.RecordBatch) -> dict:
-        found = [Block(n, levels).root for n, levels in zip(_of(batch, "leaf"), _levels(batch), strict=True)]
-        return {"tree": batch.column("tree"), "pos": batch.column("block"), "leaf": found}
+        return {"tree": batch.column("tree"), "pos": batch.column("block"), "leaf": [b.root for b in _made(batch)]}
 
     return cut(map_batches(blocks, "tree string, pos bigint, leaf string", roots), "roots")
 
@@ -169,22 +171,20 @@ def _paths(blocks: DataFrame) -> DataFrame:
 
     def paths(batch: pa.RecordBatch) -> dict:
         out = {"tree": [], "pos": [], "up": []}
-        names, places = batch.column("tree").to_pylist(), _of(batch, "pos")
-        for tree, pos, nodes, levels in zip(names, places, _of(batch, "leaf"), _levels(batch), strict=True):
-            made = Block(nodes, levels)
-            out["tree"] += [tree] * len(nodes)
+        for tree, pos, made in zip(batch.column("tree").to_pylist(), _of(batch, "pos"), _made(batch), strict=True):
+            out["tree"] += [tree] * len(pos)
             out["pos"] += pos
-            out["up"] += [made.path(i) for i in range(len(nodes))]
+            out["up"] += [made.path(i) for i in range(len(pos))]
         return out
 
     return map_batches(blocks, "tree string, pos bigint, up string", paths)
 
 
-def _climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _climb(nodes: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
     """(tree, pos, path) for every node of `nodes` (tree, pos, leaf), and (tree, leaf): the roots of the trees."""
     rounds, now = [], nodes
     while now.where("pos > 0").limit(1).count():
-        blocks = _blocked(now, ["leaf"])
+        blocks = _blocked(now, ["leaf"], levels)
         rounds.append(_paths(blocks))
         now = _roots(blocks)
     path = None
@@ -193,22 +193,22 @@ def _climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
             path = up.withColumnRenamed("up", "path")
             continue
         above = path.select("tree", F.col("pos").alias("above"), "path")
-        path = up.withColumn("above", F.shiftright("pos", LEVELS)).join(above, ["tree", "above"])
+        path = up.withColumn("above", F.shiftright("pos", levels)).join(above, ["tree", "above"])
         path = cut(path.select("tree", "pos", F.concat("up", "path").alias("path")), "paths")
     if path is None:
         path = nodes.select("tree", "pos", F.lit("").alias("path"))
     return path, now.select("tree", "leaf")
 
 
-def manifest(leaves: DataFrame) -> Manifest:
+def manifest(leaves: DataFrame, levels: int = LEVELS) -> Manifest:
     """The trees over `leaves` (tree, id, leaf, changed)."""
     placed = ranked(cut(leaves, "leaves"), ["tree"], ["id", "leaf"])
-    blocks = _blocked(placed, ["id", "leaf", "changed"])
-    path, subroots = _climb(_roots(blocks))
+    blocks = _blocked(placed, ["id", "leaf", "changed"], levels)
+    path, subroots = _climb(_roots(blocks), levels)
     subroots = cut(subroots, "subroots")
     trees = ranked(subroots, [], ["tree"]).select(F.lit("").alias("tree"), "pos", "leaf", F.col("tree").alias("of"))
     trees = cut(trees, "trees")
-    top, root = _climb(trees.drop("of"))
+    top, root = _climb(trees.drop("of"), levels)
     ends = trees.join(top, ["tree", "pos"]).join(root.select("tree", F.col("leaf").alias("root")), "tree")
     ends = cut(ends.select(F.col("of").alias("tree"), F.col("leaf").alias("subroot"), F.col("path").alias("on"), "root"), "ends")
     paths = path.join(ends, "tree").select(
@@ -228,17 +228,17 @@ def proved(made: Manifest) -> DataFrame:
     def prove(batch: pa.RecordBatch) -> dict:
         out = {name.split(" ")[0]: [] for name in PROVED.split(", ")}
         rows = zip(
-            _of(batch, "id"), _of(batch, "leaf"), _of(batch, "changed"), _levels(batch),
+            _of(batch, "id"), _made(batch), _of(batch, "changed"),
             *[batch.column(c).to_pylist() for c in ("path", "subroot", "root")], strict=True,
         )
-        for ids, nodes, changed, levels, path, subroot, root in rows:
-            base, met = Block(nodes, levels), siblings(path)
+        for ids, base, changed, path, subroot, root in rows:
+            met = siblings(path)
             shared = climbed(base.root, path)
             folded = [
                 shared if new is None else climbed(base.version(i, new)[-1][2], path) for i, new in enumerate(changed)
             ]
             out["id"] += ids
-            out["leaf"] += nodes
+            out["leaf"] += base.levels[0]
             out["subroot"] += [subroot] * len(ids)
             out["root"] += [root] * len(ids)
             out["proof_sha256"] += [digest(siblings(base.path(i)), met) for i in range(len(ids))]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -105,3 +108,75 @@ def top(vectors: dict[int, list[int]], queries: list[int], k: int) -> list[tuple
         )
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
     return out
+
+
+def sha(*parts: str) -> str:
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle_leaf(row: tuple) -> str:
+    """Of (doc_id, source, lang, n_chars, text)."""
+    return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def tree_levels(nodes: list[str]) -> list[list[str]]:
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([sha(*levels[-1][i : i + 2]) for i in range(0, len(levels[-1]), 2)])
+    return levels
+
+
+def merkle(rows: list[tuple]) -> dict:
+    """Per doc_id of rows (doc_id, source, lang, n_chars, text): leaf, subroot, root, proof_sha256, folded_root, verified."""
+    langs = defaultdict(list)
+    for row in rows:
+        langs[row[2]].append(row)
+    order = sorted(langs, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {x: tree_levels([merkle_leaf(r) for r in sorted(langs[x], key=lambda r: r[0])]) for x in order}
+    top = tree_levels([trees[x][-1][0] for x in order])
+    out = {}
+    for place, x in enumerate(order):
+        for pos, row in enumerate(sorted(langs[x], key=lambda r: r[0])):
+            hit = zlib.crc32(str(row[0]).encode()) % 7 == 0 and row[3] is not None
+            node = merkle_leaf((*row[:3], row[3] + 1, row[4])) if hit else merkle_leaf(row)
+            proof = []
+            for levels, i in ((trees[x], pos), (top, place)):
+                for nodes in levels[:-1]:
+                    other = nodes[i ^ 1 : (i ^ 1) + 1]
+                    proof += other
+                    node = sha(*other, node) if i % 2 else sha(node, *other)
+                    i //= 2
+            root = top[-1][0]
+            out[row[0]] = (merkle_leaf(row), trees[x][-1][0], root, sha(*proof), node, node == root)
+    return out
+
+
+def phrases(rows: list[tuple], support: int, k: int) -> list[tuple]:
+    """Of (lang, text): (lang, rank, phrase, a, l, r, n, score)."""
+    counts, totals = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lowered(text or "")):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            totals[lang or "und"] += len(w)
+            counts[lang or "und"].update(tuple(w[i : i + m]) for m in range(1, 6) for i in range(len(w) - m + 1))
+    out = []
+    for lang, c in counts.items():
+        held = {p: a for p, a in c.items() if a >= support and len(p) > 1}
+        found = []
+        for p, a in held.items():
+            if any(c[q] >= a for q in held if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))):
+                continue
+            score, cut = min((1000 * a * totals[lang] // (c[p[:j]] * c[p[j:]]), j) for j in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), c[p[:cut]], c[p[cut:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(found)[:k], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, totals[lang], -score))
+    return out
+
+
+def rendezvous(key: object, weights: list[float]) -> int:
+    def cost(s: int) -> float:
+        text = "" if key is None else str(key)
+        u = (int(hashlib.md5(f"{text}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return -math.log(u) / weights[s]
+
+    return min(range(len(weights)), key=cost)

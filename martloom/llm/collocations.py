@@ -5,16 +5,19 @@
    that language's words, rounded up. A phrase of global support reaches it in at least one
    shard, as it would otherwise fall short in the sum.
 2. Each shard is mined completely, length by length: a sequence is counted only where both its
-   parts of one word less are locally frequent. Phrases are 64-bit hashes here, and the
-   frequent ones of the last length are a bit set of fixed size; a collision or a shared bit
-   lets a phrase through that need not be counted, but never keeps one out.
-3. The locally frequent phrases of all shards are united, again as a bit set of fixed size.
-4. One pass over all texts counts every candidate globally, by its words; what the bit set let
-   through by chance falls to the exact support.
+   parts of one word less are locally frequent. The frequent ones of the last length are a bit
+   set of fixed size; a shared bit lets a phrase through that need not be counted, but never
+   keeps one out.
+3. The locally frequent phrases of all shards are united: the candidates.
+4. Every candidate is counted globally and exactly. In the shards where it was frequent its
+   count is known already, so one pass over all texts counts the candidates of each shard that
+   fell short there, and reads the words of each candidate once, in a partition that has it.
 
 A shard may hold any number of documents: tasks sum up what they see, and Spark adds it up by
 shard, language and hash. Bit sets (2**bits bits, 16 MB) are all that is broadcast; where more
 phrases are frequent than they tell apart, more is counted and the result stays the same.
+Phrases are told apart by 80 bits of hash from two bases until their words are read; only an
+equal hash of a frequent phrase could change a count.
 
 Every part of a phrase is at least as frequent as the phrase, so all counts that cuts and
 longer phrases need are among the candidates. Scores are whole numbers of 38 digits.
@@ -26,7 +29,6 @@ candidates have no rows; repeated rows count each time; an empty table gives no
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
@@ -46,12 +48,16 @@ KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
-SLICE = 4 << 20  # bytes of text worked on at once
-CHUNK = 1 << 20  # bytes hashed at once; a longer word makes its chunk longer
-HELD = 1 << 20  # sums a task holds before it sends them on
+SLICE = 1 << 20  # bytes of text worked on at once
+CHUNK = 1 << 18  # bytes hashed at once; a longer word makes its chunk longer
+HELD = 1 << 19  # sums a task holds before it sends them on
+SENT = 1 << 16  # rows sent on at once
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers can be undone
 
-GRAMS = "shard int, lang string, gram bigint, n bigint"
+SALT = 0x9E3779B1  # below 2**32, so that a number of 31 bits times it stays below 2**63
+
+GRAMS = "part int, lang string, gram bigint, more smallint, n bigint"
+READ = "part int, lang string, gram bigint, more smallint, n bigint, phrase string"
 PHRASES = "lang string, m int, phrase string, n bigint"
 
 
@@ -83,7 +89,7 @@ class Words:
     hashes: list[np.ndarray]
 
 
-def words_of(data: bytes, bases: tuple[int, ...] = BASES[:1]) -> Words:
+def words_of(data: bytes, bases: tuple[int, ...] = BASES) -> Words:
     """`data` is lower-cased already; words are hashed chunk by chunk, cut where no word is."""
     every = np.frombuffer(data, np.uint8)
     starts, ends, pieces, hashes, piece, at = [], [], [], [[] for _ in bases], 0, 0
@@ -130,9 +136,13 @@ def within(piece: np.ndarray, m: int) -> np.ndarray:
     return piece[:n] == piece[m - 1 :][:n]
 
 
-def salts(shards: int) -> np.ndarray:
-    """A number per shard that moves its phrases to bits of its own."""
-    return mixed(np.arange(1, shards + 1, dtype=np.uint64))
+def salt(shard: np.ndarray) -> np.ndarray:
+    """A number per shard (or partition) that moves its phrases to bits of its own."""
+    return shard.astype(np.int64).view(np.uint64) * np.uint64(SALT)
+
+
+def salt_column(shard: str) -> Column:
+    return F.col(shard).cast("bigint") * F.lit(SALT)
 
 
 class Bits:
@@ -167,113 +177,138 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 class _Sums:
-    """Counts by key, sent on when too many are held."""
+    """Counts by (key, more), sent on when too many are held; `code` is that of any of its rows."""
 
     def __init__(self) -> None:
         self.parts, self.rows = [], 0
 
-    def add(self, key: np.ndarray, code: np.ndarray) -> None:
-        key, first, n = np.unique(key, return_index=True, return_counts=True)
-        self.parts.append((key, code[first], n))
-        self.rows += len(key)
+    def add(self, key: np.ndarray, more: np.ndarray, code: np.ndarray, n: np.ndarray | None = None) -> None:
+        # Rows of one key and another `more` than its first are kept apart, one by one.
+        different, first, place, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        n = np.ones(len(key), np.int64) if n is None else n
+        odd = more != more[first][place]
+        total = np.bincount(place, np.where(odd, 0, n), len(different)).astype(np.int64)
+        for part in ((different, more[first], code[first], total), (key[odd], more[odd], code[odd], n[odd])):
+            if len(part[0]):
+                self.parts.append(part)
+                self.rows += len(part[0])
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        key, more, code, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.rows = [], 0
+        self.add(key, more, code, n)
+        return tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))
+
+    def sent(self, codes: list[tuple[int, str, int]], last: bool) -> Iterator[dict]:
+        """Rows (part, lang, gram, more, n) of all that is held, if it is too much or the last."""
+        if not self.rows or not last and self.rows <= HELD:
+            return
+        keys, mores, all_codes, ns = self.merged()
+        if not last and self.rows <= HELD // 2:
+            return
+        self.parts, self.rows = [], 0
+        shard, part = (np.array([c[i] for c in codes], np.int32) for i in (0, 2))
+        langs = pa.array([lang for _, lang, _ in codes])
+        for at in range(0, len(keys), SENT):
+            key, more, code, n = (x[at : at + SENT] for x in (keys, mores, all_codes, ns))
+            yield {
+                "part": part[code], "lang": langs.take(pa.array(code)),
+                "gram": (key ^ salt(shard[code])).view(np.int64), "more": more.view(np.int16), "n": n,
+            }
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, code, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        key, first, place = np.unique(key, return_index=True, return_inverse=True)
-        total = np.bincount(place, n, len(key)).astype(np.int64)
-        self.parts, self.rows = [(key, code[first], total)], len(key)
-        return self.parts[0]
 
+class _Grams:
+    """The sequences of growing length in a slice of texts, each with its row's (shard, lang, part)."""
 
-def local_counts(texts: DataFrame, m: int, shards: int, before: Bits | None) -> DataFrame:
-    """(shard, lang, gram, n): sequences of m words whose parts of m - 1 words `before` holds."""
-    salt = salts(shards)
+    def __init__(self, batch: pa.RecordBatch, data: bytes, begin: np.ndarray, codes: dict) -> None:
+        rows = zip(*[batch.column(c).to_pylist() for c in ("shard", "lang", "part")], strict=True)
+        own = np.array([codes.setdefault(r, len(codes)) for r in rows])
+        self.words = words_of(data)
+        self.code = own[np.searchsorted(begin, self.words.start, "right") - 1]
+        names = list(codes)
+        lang = np.array([_lang_hash(name) for _, name, _ in names], np.uint64)[self.code]
+        self.shard = salt(np.array([s for s, _, _ in names]))[self.code]
+        self.part = salt(np.array([p for _, _, p in names]))[self.code]
+        self.m = 1
+        self.first, self.second = (mixed(h ^ lang) for h in self.words.hashes)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        codes: dict[tuple[int, str], int] = {}
-        sums = _Sums()
+    def next(self) -> None:
+        self.m += 1
+        self.first = longer(self.first, self.words.hashes[0], self.m)
+        self.second = longer(self.second, self.words.hashes[1], self.m)
 
-        def rows() -> dict | None:
-            key, code, n = sums.merged()
-            sums.parts, sums.rows = [], 0
-            shard = np.array([s for s, _ in codes], np.int32)
-            langs = pa.array([lang for _, lang in codes])
-            return {
-                "shard": shard[code], "lang": langs.take(pa.array(code)),
-                "gram": (key ^ salt[shard[code]]).view(np.int64), "n": n,
-            }
+    def more(self) -> np.ndarray:
+        return (self.second >> np.uint64(48)).astype(np.uint16)
 
-        for part, data, begin in _texts(batches):
-            pairs = zip(part.column("shard").to_pylist(), part.column("lang").to_pylist(), strict=True)
-            own = np.array([codes.setdefault(p, len(codes)) for p in pairs])
-            found = words_of(data)
-            code = own[np.searchsorted(begin, found.start, "right") - 1]
-            names = list(codes)
-            lang = np.array([_lang_hash(name) for _, name in names], np.uint64)[code]
-            move = salt[np.array([s for s, _ in names], np.int64)][code]
-            words = found.hashes[0]
-            grams = mixed(words ^ lang)
-            good = np.ones(len(grams), bool)
-            for k in range(2, m + 1):
-                if k == m:
-                    known = before.has(grams ^ move[: len(grams)])
-                    good = known[:-1] & known[1:] if len(known) else good
-                grams = longer(grams, words, k)
-            good = good[: len(grams)] & within(found.piece, m)
-            if good.any():
-                at = np.flatnonzero(good)
-                sums.add(grams[at] ^ move[at], code[at])
-            if sums.rows > HELD:
-                sums.merged()
-                if sums.rows > HELD // 2:
-                    yield rows()
-        if sums.rows:
-            yield rows()
-
-    out = map_stream(texts, GRAMS, count)
-    return out.groupBy("shard", "lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def exact_counts(texts: DataFrame, longest: int, candidates: Bits) -> DataFrame:
-    """(lang, m, phrase, n): occurrences of every phrase that `candidates` holds, by its words.
-
-    In a task equal hashes stand for equal words only where a second hash agrees.
-    """
+    def local(self) -> np.ndarray:
+        """The sequences as those of their shard."""
+        return self.first ^ self.shard[: len(self.first)]
+
+
+def by_shard(rows: DataFrame, shards: int) -> DataFrame:
+    """Counts added up by shard, language and hash; `part` is any partition that has the phrase."""
+    own = F.pmod("part", F.lit(shards)).alias("shard")
+    return rows.groupBy(own, "lang", "gram", "more").agg(F.sum("n").alias("n"), F.any_value("part").alias("part"))
+
+
+def local_counts(texts: DataFrame, m: int, shards: int, before: Bits | None) -> DataFrame:
+    """(shard, lang, gram, more, n, part): sequences of m words whose parts of m - 1 words `before` holds."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        held: Counter = Counter()
-
-        def rows() -> dict:
-            keys, n = list(held), list(held.values())
-            held.clear()
-            langs, sizes, phrases = zip(*keys, strict=True)
-            return {"lang": list(langs), "m": list(sizes), "phrase": [p.decode("utf-8", "replace") for p in phrases], "n": n}
-
-        for part, data, begin in _texts(batches):
-            names = part.column("lang").to_pylist()
-            found = words_of(data, BASES)
-            doc = np.searchsorted(begin, found.start, "right") - 1
-            lang = np.array([_lang_hash(name) for name in names], np.uint64)[doc]
-            first, second = mixed(found.hashes[0] ^ lang), mixed(found.hashes[1] ^ lang)
-            for m in range(1, longest + 1):
-                if m > 1:
-                    first, second = longer(first, found.hashes[0], m), longer(second, found.hashes[1], m)
-                at = np.flatnonzero(candidates.has(first) & within(found.piece, m))
-                if not len(at):
-                    continue
-                _, lead, place, n = np.unique(first[at], return_index=True, return_inverse=True, return_counts=True)
-                odd = np.flatnonzero(second[at] != second[at][lead][place])
-                n -= np.bincount(place[odd], minlength=len(n))
-                for i, times in [*zip(at[lead].tolist(), n.tolist(), strict=True), *((int(i), 1) for i in at[odd])]:
-                    phrase = b" ".join(data[found.start[i] : found.end[i + m - 1]].split())
-                    held[names[doc[i]], m, phrase] += times
-            if len(held) > HELD // 4:
-                yield rows()
-        if held:
-            yield rows()
-
-    out = map_stream(texts, PHRASES, count)
-    return out.groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
+        codes: dict[tuple[int, str, int], int] = {}
+        sums = _Sums()
+        for batch, data, begin in _texts(batches):
+            grams = _Grams(batch, data, begin, codes)
+            while grams.m < m - 1:
+                grams.next()
+            good = within(grams.words.piece, m)
+            if m > 1:
+                known = before.has(grams.local())
+                good &= known[: len(good)] & known[1 : len(good) + 1]
+                grams.next()
+            at = np.flatnonzero(good)
+            if len(at):
+                sums.add(grams.local()[at], grams.more()[at], grams.code[at])
+            yield from sums.sent(list(codes), last=False)
+        yield from sums.sent(list(codes), last=True)
+
+    return by_shard(map_stream(texts, GRAMS, count), shards)
+
+
+def read_again(texts: DataFrame, longest: int, short: Bits, named: Bits) -> DataFrame:
+    """(part, lang, gram, more, n, phrase): counts of what `short` holds of a shard, and the words
+    of what `named` holds of a partition."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        codes: dict[tuple[int, str, int], int] = {}
+        sums, seen = _Sums(), set()
+        for batch, data, begin in _texts(batches):
+            grams = _Grams(batch, data, begin, codes)
+            while grams.m <= longest:
+                inside = within(grams.words.piece, grams.m)
+                at = np.flatnonzero(short.has(grams.local()) & inside)
+                if len(at):
+                    sums.add(grams.local()[at], grams.more()[at], grams.code[at])
+                at = np.flatnonzero(named.has(grams.first ^ grams.part[: len(grams.first)]) & inside)
+                keys, more = grams.first.view(np.int64), grams.more().view(np.int16)
+                found = {(int(keys[i]), int(more[i])): i for i in at}
+                new = [k for k in found if k not in seen]
+                seen.update(new)
+                if new:
+                    lines, names = [found[k] for k in new], list(codes)
+                    start, end = grams.words.start, grams.words.end
+                    yield {
+                        "part": [None] * len(new), "lang": [names[grams.code[i]][1] for i in lines],
+                        "gram": [k for k, _ in new], "more": [k for _, k in new], "n": [None] * len(new),
+                        "phrase": [b" ".join(data[start[i] : end[i + grams.m - 1]].split()).decode("utf-8", "replace") for i in lines],
+                    }
+                grams.next()
+            if len(seen) > HELD // 4:
+                seen.clear()
+            yield from (r | {"phrase": [None] * len(r["n"])} for r in sums.sent(list(codes), last=False))
+        yield from (r | {"phrase": [None] * len(r["n"])} for r in sums.sent(list(codes), last=True))
+
+    return map_stream(texts, READ, read)
 
 
 @dataclass(frozen=True)
@@ -285,19 +320,20 @@ class Mined:
 
 
 def mine(
-    docs: DataFrame, support: int = 100, longest: int = 5, shards: int = 8, bits: int = 27,
+    docs: DataFrame, support: int = 100, longest: int = 5, shards: int = 2, bits: int = 27,
     text: str = "text", lang: str = "lang",
 ) -> Mined:
     """All phrases of 1 to `longest` words that occur `support` times in a language."""
+    part = F.spark_partition_id()
     texts = cut(
         docs.select(
-            F.pmod(F.spark_partition_id(), F.lit(shards)).alias("shard"),
+            F.pmod(part, F.lit(shards)).alias("shard"),
+            part.alias("part"),
             F.coalesce(column(docs, lang).cast("string"), F.lit("und")).alias("lang"),
             F.coalesce(column(docs, text), F.lit("")).cast("binary").alias("text"),
         ),
         "texts",
     )
-    salt = F.element_at(F.array(*[F.lit(int(x)) for x in salts(shards).view(np.int64)]), F.col("shard") + 1)
     words = cut(local_counts(texts, 1, shards, None), "words")
     sizes = words.groupBy("shard", "lang").agg(F.sum("n").alias("own"))
     totals = cut(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
@@ -308,15 +344,32 @@ def mine(
     needs = written_side(needs, "needs")
     levels, counts, m = [], words, 1
     while True:
-        frequent = cut(counts.join(needs, ["shard", "lang"]).where("n >= need").select("shard", "gram"), "frequent")
-        levels.append(frequent)
-        known = Bits(frequent, F.col("gram").bitwiseXOR(salt), bits) if m < longest else None
+        frequent = counts.join(needs, ["shard", "lang"]).where("n >= need").drop("need").withColumn("m", F.lit(m))
+        levels.append(frequent := cut(frequent, "frequent"))
+        known = Bits(frequent, F.col("gram").bitwiseXOR(salt_column("shard")), bits) if m < longest else None
         if known is None or not known.any:
             break
         m += 1
         counts = local_counts(texts, m, shards, known)
-    union = Bits(reduce(DataFrame.unionByName, levels), F.col("gram"), bits)
-    return Mined(cut(exact_counts(texts, longest, union).where(F.col("n") >= support), "phrases"), totals)
+    key = ["lang", "gram", "more"]
+    candidates = reduce(DataFrame.unionByName, levels).groupBy(*key, "m").agg(
+        F.sum("n").alias("n"), F.any_value("part").alias("part"), F.collect_set("shard").alias("held")
+    )
+    candidates = cut(candidates, "candidates")
+    others = F.explode(F.array_except(F.sequence(F.lit(0), F.lit(shards - 1)), "held")).alias("shard")
+    short = cut(candidates.select(*key, others), "short")
+    again = read_again(
+        texts, longest, Bits(short, F.col("gram").bitwiseXOR(salt_column("shard")), bits),
+        Bits(candidates, F.col("gram").bitwiseXOR(salt_column("part")), bits),
+    )
+    again = cut(again, "again")
+    # What shared a bit by chance is neither short nor a candidate and finds no partner here.
+    rest = by_shard(again.where("n is not null"), shards)
+    rest = rest.drop("part").join(short, ["shard", *key]).groupBy(*key).agg(F.sum("n").alias("rest"))
+    phrases = again.where("phrase is not null").groupBy(*key).agg(F.max("phrase").alias("phrase"))
+    whole = candidates.join(rest, key, "left").withColumn("n", F.col("n") + F.coalesce("rest", F.lit(0)))
+    counts = whole.where(F.col("n") >= support).join(phrases, key).select("lang", "m", "phrase", "n")
+    return Mined(cut(counts, "phrases"), totals)
 
 
 def scored(mined: Mined) -> DataFrame:

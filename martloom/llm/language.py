@@ -8,8 +8,9 @@ inside Spark tasks: mean and layer are linear, so they are folded into one table
 per row and language.
 
 A part of the sample is kept out of the descent: it fits the temperature that calibrates the
-scores, and the score below which a prediction is rejected, which at most `REJECT` of the
-right predictions there fall short of.
+scores, and the score below which a prediction is rejected: `MARGIN` times the lowest score of
+a right prediction there, so that texts of a learned language stay, and at most
+`HIGHEST_REJECTION`.
 
 Defined results: a null text or one without a letter is `und` with score 0 and rejected; a
 null id counts as the empty text for the split; without any labelled row every text is `und`.
@@ -22,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,12 +31,13 @@ from pyspark.sql.types import StructType
 from martloom.llm.frames import column, map_stream, packed, slices
 
 BITS = 14
+BUCKET = np.uint16  # holds BITS bits
 GRAMS = (2, 3, 4)
 DIMENSIONS = 16
 # Bound on the labelled documents a model is fitted on.
 SAMPLE = 2400
 CALIBRATION = 0.25
-REJECT = 0.002
+MARGIN = 0.75
 HIGHEST_REJECTION = 0.5
 UNKNOWN = "und"
 
@@ -92,16 +95,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 12, seed: int =
             found = [text_counts(t) for t in batch.column("text").to_pylist()]
             yield {
                 "id": batch.column("id"), "lang": batch.column("lang"),
-                "bucket": [b.tolist() for b, _ in found], "n": [c.tolist() for _, c in found],
+                "bucket": [b.astype(BUCKET).tobytes() for b, _ in found], "n": [c.astype(np.uint32).tobytes() for _, c in found],
             }
 
-    schema = "id bigint, lang string, bucket array<int>, n array<int>"
+    schema = "id bigint, lang string, bucket binary, n binary"
     rows = map_stream(sample_rows(usable, sample).select("id", "text", "lang"), schema, features).toArrow()
-    rows = rows.sort_by([("id", "ascending"), ("lang", "ascending")])
-    return train(
-        [(np.asarray(b.values), np.asarray(c.values)) for b, c in zip(rows["bucket"], rows["n"], strict=True)],
-        rows["lang"].to_pylist(), epochs, seed,
-    )
+    order = pc.sort_indices(rows, [("id", "ascending"), ("lang", "ascending")]).to_pylist()
+    counts = [
+        (np.frombuffer(rows["bucket"][i].as_buffer(), BUCKET), np.frombuffer(rows["n"][i].as_buffer(), np.uint32)) for i in order
+    ]
+    made = train(counts, [rows["lang"][i].as_py() for i in order], epochs, seed)
+    # The driver lives on through the jobs to come: what the fit held goes back to the system.
+    del rows, counts
+    pa.default_memory_pool().release_unused()
+    return made
 
 
 def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int, seed: int) -> LanguageModel:
@@ -150,7 +157,7 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs
     )
     scores = softmax(raw / temperature)
     right = np.sort(scores.max(axis=1)[scores.argmax(axis=1) == truth])
-    least = right[int(len(right) * REJECT)] if len(right) else 0.0
+    least = MARGIN * right[0] if len(right) else 0.0
     return LanguageModel(languages, logits, temperature, float(min(HIGHEST_REJECTION, least)))
 
 

@@ -34,7 +34,28 @@ def test_languages_held_out(spoken):
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
     assert len(held) > 100 and sum(r.lang_pred == truth[r.id] for r in held) >= 0.98 * len(held)
-    assert all(0 <= r.score <= 1 for r in rows) and sum(r.rejected for r in rows) <= 0.01 * len(rows)
+    assert all(0 <= r.score <= 1 for r in rows) and not any(r.rejected for r in rows)
+
+
+def test_scores_as_brute_force(spark, texts):
+    """A model's scores, byte by byte: the mean logit of all n-grams, then the softmax."""
+    rng = np.random.default_rng(3)
+    model = language.LanguageModel(["aa", "bb"], rng.normal(0, 5, (1 << language.BITS, 2)).astype(np.float32), 0.7, 0.6)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "id long, text string").withColumn("text", F.col("text").cast("binary"))
+    for r in language.predicted(df, model).collect():
+        data = bytes(r.text).lower()
+        total, n = np.zeros(2), 0
+        for size in language.GRAMS:
+            for start in range(len(data) - size + 1):
+                code = int.from_bytes(data[start : start + size], "big") & 0xFFFFFFFF
+                code = (code ^ (code >> 15) ^ (size * 0x2545F491 & 0xFFFFFFFF)) * 0x9E3779B1 & 0xFFFFFFFF
+                total += model.logits[code >> (32 - language.BITS)]
+                n += 1
+        p = language.softmax((total / max(n, 1) / model.temperature)[None])[0]
+        letters = any(c.isalpha() for c in bytes(r.text).decode())
+        assert r.score == pytest.approx(p.max() if letters else 0.0, abs=1e-6)
+        assert r.lang_pred == (model.languages[int(p.argmax())] if letters else "und")
+        assert r.rejected == (not letters or r.score < 0.6)
 
 
 def test_held_out_labels_teach_nothing(spoken):
@@ -117,6 +138,20 @@ BESIDE_OTHERS = {
 }
 
 
+def test_a_stray_digit_changes_no_proposal(spark, persons):
+    texts = [
+        "mail joe at example.com", "joe at example [dot] com", "joe[at]example.com", "joe (at) example dot org", "joe@example.com",
+        "write to joe (at] example (dot) com",
+    ]
+    df = spark.createDataFrame([(t + end,) for t in texts for end in ("", " or 5")], "text string")
+    trees = pii.fit(persons, "doc_id", F.coalesce("text", F.lit("")))
+    found = {r.text: [(c.kind, c.match) for c in r.pii_found] for r in pii.with_proposals(pii.with_base(df, F.col("text"))).collect()}
+    spans = {r.text: spans_of(r, "pii_spans") for r in pii.with_spans(df, F.col("text"), trees).collect()}
+    for t in texts:
+        assert found[t] == found[f"{t} or 5"] and spans[t] == spans[f"{t} or 5"]
+        assert found[t] or spans[t]
+
+
 def test_numbers_beside_numbers_are_proposed_and_chosen(spark, persons):
     trees = pii.fit(persons, "doc_id", F.coalesce("text", F.lit("")))
     df = spark.createDataFrame([(t,) for t in BESIDE_OTHERS], "text string")

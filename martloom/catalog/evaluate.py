@@ -46,6 +46,7 @@ from martloom.operators.metrics import (
     top_models,
     with_gini,
 )
+from martloom.session import cut
 
 # -- classification -----------------------------------------------------------
 
@@ -286,14 +287,14 @@ def ensemble_grid(spark, sf):
 
 @query(f"select {sql_r6('max(gini)')} as gini, 27 as n_trials from ({_sql_grid()})")
 def ensemble_search(spark, sf):
-    found = search_weights(predictions(spark, sf), "y", MODELS, max_trials=27)
+    found = search_weights(cut(predictions(spark, sf), "predictions"), "y", MODELS, max_trials=27)
     return spark.createDataFrame([(round(found.score, 6), found.n_trials)], "gini double, n_trials int")
 
 
 @query()
 def ensemble_search_full(spark, sf):
     """The grid, then draws until `PATIENCE` trials bring no gain; ranking every trial is too much for SQL."""
-    found = search_weights(predictions(spark, sf), "y", MODELS)
+    found = search_weights(cut(predictions(spark, sf), "predictions"), "y", MODELS)
     row = (list(found.weights), round(found.score, 6), found.n_trials)
     return spark.createDataFrame([row], "weights array<double>, gini double, n_trials int")
 

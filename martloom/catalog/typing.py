@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martloom.catalog.common import query, r6, sql_r6, table
@@ -9,12 +12,13 @@ from martloom.operators.encoding import (
     Encode,
     OneHotBoolean,
     ReduceBooleans,
+    SparseOneHot,
     fit_dates,
     fit_one_hot,
     label_encode,
 )
 from martloom.operators.narrowing import fit_narrowing, model_cast
-from martloom.operators.profile import column_profile
+from martloom.operators.profile import column_profile, column_sketches, merge_sketches, sketch_counts
 from martloom.plans.chain import narrowing_new
 
 
@@ -123,6 +127,25 @@ def date_detect_cast(spark, sf):
     return fit_narrowing(df, ignore=("o_orderkey",)).apply(df)
 
 
+_MOMENTS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd'T'HH:mm", "dd-MM-yyyy HH:mm:ss.SSS", "dd/MM/yyyy")
+
+
+@query("""
+select o_orderkey, case o_orderkey % 4 when 3 then o_orderdate::date::timestamp
+         else o_orderdate::date + to_minutes((o_orderkey % 1440)::bigint) end as moment, 'datetime' as type_name
+from orders
+""")
+def timestamp_detect_cast(spark, sf):
+    """Texts of dates with and without a time of day, in four layouts."""
+    at = F.col("o_orderdate").cast("date").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    form = F.lit(None).cast("string")
+    for i, f in enumerate(_MOMENTS):
+        form = F.when(F.col("o_orderkey") % 4 == i, F.date_format(at, f)).otherwise(form)
+    df = table(spark, sf, "orders").select("o_orderkey", form.alias("moment"))
+    plan = fit_narrowing(df, ignore=("o_orderkey",))
+    return plan.apply(df).withColumn("type_name", F.lit(plan.columns[0].logical))
+
+
 def _sql_profile(column: str, kind: str, source: str) -> str:
     if kind == "text":
         low = high = "null::double"
@@ -157,6 +180,23 @@ def column_profiles(spark, sf):
     )
 
 
+@query(
+    " union all ".join(
+        f"""select '{c}' as "column", count(*) as n_rows, count(*) - count({c}) as n_null, true as close from events"""
+        for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
+    )
+)
+def column_sketches_merged(spark, sf):
+    """Sketches of each event type's rows, merged; the estimate is within 5 % of the exact number."""
+    events = table(spark, sf, "events")
+    kinds = [r[0] for r in events.select("event_type").distinct().collect()]
+    parts = [column_sketches(events.where(F.col("event_type").eqNullSafe(F.lit(k)))) for k in kinds]
+    exact = column_profile(events).select("column", F.col("n_distinct").alias("exact"))
+    out = sketch_counts(merge_sketches(reduce(DataFrame.unionByName, parts))).join(exact, "column")
+    close = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
+    return out.select("column", "n_rows", "n_null", close.alias("close"))
+
+
 SQL_NEW = "select l_quantity * 2 as double_qty, l_extendedprice * (1 + l_tax) as price_sum from lineitem"
 
 
@@ -230,6 +270,32 @@ def one_hot_boolean(spark, sf):
     return OneHotBoolean().fit(df).apply(df)
 
 
+def _wide_text(spark, sf):
+    """Every line's order as a text of its own, and a short column with nulls."""
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("big"),
+        F.when(F.col("l_quantity") > 5, F.col("l_returnflag")).alias("small"),
+    )
+
+
+@query("""
+with d as (select l_orderkey, l_linenumber, 'order ' || l_orderkey as big, case when l_quantity > 5 then l_returnflag end as small
+           from lineitem),
+  n as (select count(distinct big) as big, count(distinct small) as small from d)
+select l_orderkey, l_linenumber, (dense_rank() over (order by big) - 1)::int as position from d
+union all
+select l_orderkey, l_linenumber,
+  (n.big + case when d.small is null then n.small else dense_rank() over (order by d.small nulls last) - 1 end)::int from d, n
+""")
+def one_hot_sparse(spark, sf):
+    """The set flags of one vector over all orders and return flags."""
+    df = _wide_text(spark, sf)
+    out = SparseOneHot(("big", "small")).fit(df).apply(df)
+    return out.select("l_orderkey", "l_linenumber", F.explode(F.unwrap_udt("flags")["indices"]).alias("position"))
+
+
 @query("""
 select c_custkey, dense_rank() over (order by c_name) - 1 as encoded_c_name,
        dense_rank() over (order by c_mktsegment) - 1 as encoded_c_mktsegment

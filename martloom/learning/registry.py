@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -11,12 +11,16 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     NaiveBayes,
     OneVsRest,
+    OneVsRestModel,
     RandomForestClassifier,
 )
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame
+
+from martloom.functions.values import col
+from martloom.learning.boosting import STOPPING_ROUNDS, Watched
 
 SEED = 42  # fixed value
-EARLY_STOP_TOLERANCE = 0.01
 
 CLASSIFIERS = {
     "logistic_regression": LogisticRegression,
@@ -38,16 +42,18 @@ REGRESSORS = {
 }
 TWO_CLASSES = ("gradient_boosting", "linear_svm")
 # Names callers know boosted trees by. All train MLlib's boosted trees; the
-# parameters are the learning rate and depth these names stand for by default.
+# parameters are the rounds, learning rate and depth these names stand for by default.
 BOOSTED = {
-    "gradient_boosting": {},
-    "LGBMClassifier": {"stepSize": 0.1, "maxDepth": 5},
-    "LGBMRegressor": {"stepSize": 0.1, "maxDepth": 5},
-    "XGBClassifier": {"stepSize": 0.299, "maxDepth": 6},
-    "XGBRegressor": {"stepSize": 0.299, "maxDepth": 6},
-    "CatBoostClassifier": {"stepSize": 0.0637660026550293, "maxDepth": 6},
-    "CatBoostRegressor": {"stepSize": 0.0637660026550293, "maxDepth": 6},
+    "gradient_boosting": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3},
+    "LGBMClassifier": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5},
+    "LGBMRegressor": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5},
+    "XGBClassifier": {"maxIter": 100, "stepSize": 0.299, "maxDepth": 6},
+    "XGBRegressor": {"maxIter": 100, "stepSize": 0.299, "maxDepth": 6},
+    "CatBoostClassifier": {"maxIter": 1000, "stepSize": 0.0637660026550293, "maxDepth": 6},
+    "CatBoostRegressor": {"maxIter": 1000, "stepSize": 0.0637660026550293, "maxDepth": 6},
 }
+# Families that watch an evaluation set.
+WATCHING = tuple(n for n in BOOSTED if n != "gradient_boosting")
 
 
 def family(name: str, task: str):
@@ -60,10 +66,10 @@ def init_params(name: str) -> dict:
     return dict(BOOSTED.get(name, {}))
 
 
-def fit_params(name: str, validation: str | None) -> dict:
-    """Early stopping of the boosted families on the rows a column marks as validation."""
-    if name in BOOSTED and validation:
-        return {"validationIndicatorCol": validation, "validationTol": EARLY_STOP_TOLERANCE}
+def fit_params(name: str, eval_set: DataFrame | None) -> dict:
+    """What a family watches while it is fitted: the rows, and the rounds without gain it stops after."""
+    if name in WATCHING and eval_set is not None:
+        return {"watched": eval_set, "patience": STOPPING_ROUNDS}
     return {}
 
 
@@ -72,29 +78,52 @@ def make(
     task: str = "binary_classification",
     label: str = "label",
     features: str = "features",
-    validation: str | None = None,
+    eval_set: DataFrame | None = None,
     **params,
-) -> Estimator:
-    """An estimator from its family name, start parameters and overrides."""
+) -> Estimator | Watched:
+    """An estimator from its family name, start parameters and overrides.
+
+    A family that watches `eval_set` stops early on it; the others take no notice.
+    """
     if name == "perceptron" and "layers" not in params:
         raise ValueError("a perceptron needs `layers`: sizes from the number of features to the number of classes")
-    settings = init_params(name) | fit_params(name, validation) | params
+    settings = init_params(name) | params
+    if isinstance(settings.get("featureSubsetStrategy"), int | float):
+        settings["featureSubsetStrategy"] = str(settings["featureSubsetStrategy"])
     estimator = family(name, task)(featuresCol=features, labelCol=label, **settings)
     if estimator.hasParam("seed") and "seed" not in params:
         estimator.setSeed(SEED)
-    return estimator
+    watching = fit_params(name, eval_set)
+    return Watched(estimator, rounds=settings["maxIter"], **watching) if watching else estimator
 
 
-def make_for_classes(name: str, n_classes: int, label: str = "label", features: str = "features", **params) -> Estimator:
-    """`make` for a label of `n_classes` values 0, 1, ...; families that know two classes go one against the rest.
+class EachAgainstTheRest:
+    """One model a class of a label 0, 1, ..., each watching the evaluation set with its own class."""
 
-    One against the rest hands no other columns on, so it cannot stop early on marked rows.
-    """
+    def __init__(self, n_classes: int, name: str, label: str, features: str, eval_set: DataFrame | None, params: dict):
+        self.n_classes, self.name, self.label, self.features = n_classes, name, label, features
+        self.eval_set, self.params = eval_set, params
+
+    def fit(self, rows: DataFrame) -> Model:
+        def own(df: DataFrame | None, i: int) -> DataFrame | None:
+            return None if df is None else df.withColumn(self.label, (col(self.label) == i).cast("double"))
+
+        models = [
+            make(self.name, label=self.label, features=self.features, eval_set=own(self.eval_set, i), **self.params).fit(own(rows, i))
+            for i in range(self.n_classes)
+        ]
+        one = family(self.name, "binary_classification")()
+        frame = OneVsRest(classifier=one, labelCol=self.label, featuresCol=self.features)
+        return frame._copyValues(OneVsRestModel(models=models))
+
+
+def make_for_classes(
+    name: str, n_classes: int, label: str = "label", features: str = "features", eval_set: DataFrame | None = None, **params
+) -> Estimator | Watched | EachAgainstTheRest:
+    """`make` for a label of `n_classes` values 0, 1, ...; families that know two classes go one against the rest."""
     if n_classes <= 2 or not (name in BOOSTED or name in TWO_CLASSES):
-        return make(name, "binary_classification", label, features, **params)
-    params.pop("validation", None)
-    one = make(name, "binary_classification", label, features, **params)
-    return OneVsRest(classifier=one, labelCol=label, featuresCol=features)
+        return make(name, "binary_classification", label, features, eval_set, **params)
+    return EachAgainstTheRest(n_classes, name, label, features, eval_set, params)
 
 
 def baseline(label: str = "label", features: str = "features") -> Estimator:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from martloom.learning.registry import make
 from martloom.learning.validation import N_FOLDS, PARALLEL, score_trials, write_folds
-from martloom.sources.runs import append_runs
+from martloom.sources.runs import RunLog
 
 # Fixed value: trials without gain before tuning stops.
 PATIENCE = 5000
@@ -50,27 +50,35 @@ class SearchSpace:
             yield given[i] if i < len(given) else self.draw(rng)
 
 
-# Start trials and ranges of the boosted trees, in MLlib's parameter names. Fixed values
-# where the parameter means the same: rounds, learning rate, depth, leaf size, row share.
-BOOSTED_SPACE = SearchSpace(
-    base={
-        "default": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "subsamplingRate": 1.0},
-        "best_found": {
-            "maxIter": 100,
-            "stepSize": 0.08767009868144243,
-            "maxDepth": 6,
-            "minInstancesPerNode": 7,
-            "subsamplingRate": 0.547070560433649,
+# Start trials and ranges of the three boosted families, in MLlib's parameter names. Fixed
+# values where the parameter means the same: rounds, learning rate, depth, leaf size, row
+# share, feature share. A family without a depth of its own and 31 leaves has depth 5; what
+# MLlib's trees have no counterpart of (penalties on leaves, binning and sampling modes) is left out.
+SPACES = {
+    "LGBMClassifier": SearchSpace(
+        base={
+            "default": {"maxIter": 1000, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "subsamplingRate": 1.0, "featureSubsetStrategy": 1.0},
+            "best_found": {"maxIter": 1000, "stepSize": 0.08767009868144243, "maxDepth": 20, "minInstancesPerNode": 7, "subsamplingRate": 0.547070560433649, "featureSubsetStrategy": 0.8248602702109634},
+            "best_small": {"maxIter": 1000, "stepSize": 0.07993103759008606, "maxDepth": 7, "minInstancesPerNode": 40, "subsamplingRate": 0.9604966139592431, "featureSubsetStrategy": 0.9767610734651145},
+            "best_medium": {"maxIter": 1000, "stepSize": 0.0864683107775281, "maxDepth": 16, "minInstancesPerNode": 13, "subsamplingRate": 0.9382635709045782, "featureSubsetStrategy": 0.9548993839554839},
         },
-    },
-    ranges={
-        "maxIter": [20, 200],
-        "stepSize": [1e-5, 0.3],
-        "maxDepth": [1, 12],
-        "minInstancesPerNode": [1, 40],
-        "subsamplingRate": [0.5, 1.0],
-    },
-)
+        ranges={"maxIter": [1000, 1000], "stepSize": [1e-5, 0.1], "maxDepth": [1, 20], "minInstancesPerNode": [1, 40], "subsamplingRate": [0.5, 1.0], "featureSubsetStrategy": [0.8, 1.0]},
+    ),
+    "CatBoostClassifier": SearchSpace(
+        base={
+            "default": {"maxIter": 1000, "stepSize": 0.0637660026550293, "maxDepth": 6, "subsamplingRate": 0.800000011920929, "featureSubsetStrategy": 1.0},
+            "best_medium": {"maxIter": 1001, "stepSize": 0.05231818503720738, "maxDepth": 5, "subsamplingRate": 0.9754678706761962, "featureSubsetStrategy": 0.8018879912718615},
+        },
+        ranges={"maxIter": [1000, 1000], "stepSize": [1e-5, 0.3], "maxDepth": [5, 10], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": [0.1, 1.0]},
+    ),
+    "XGBClassifier": SearchSpace(
+        base={
+            "default": {"maxIter": 1000, "stepSize": 0.299, "maxDepth": 6, "subsamplingRate": 1.0},
+            "best_medium": {"maxIter": 896, "stepSize": 0.05476444099818623, "maxDepth": 12, "subsamplingRate": 0.9708888129698929, "featureSubsetStrategy": 0.6314127701702026},
+        },
+        ranges={"maxIter": [500, 2000], "stepSize": [1e-5, 0.3], "maxDepth": [1, 16], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": [0.1, 1.0]},
+    ),
+}
 
 
 @dataclass(frozen=True)
@@ -94,23 +102,25 @@ def tune(
     seed: int = 42,
     run_log: str | None = None,
     features: str = "features",
+    eval_set: DataFrame | None = None,
 ) -> Tuning:
     """Score trials by a mean fold score, higher being better, until a stop rule holds.
 
     The score is the Gini, or the negated percentage error for regression. All trials
-    share one set of folds; a batch of them is scored by one job. Between batches the
-    time limit and the number of trials without gain are checked.
+    share one set of folds, and every fit of a watching family stops early on `eval_set`.
+    The time limit holds for each fit: one that would begin after it is left out, with its
+    trial. Between batches the number of trials without gain is checked.
     """
     metric = "gini_score" if task == "binary_classification" else "neg_mean_absolute_percentage_error"
     folded = write_folds(df, label, key, task, k, seed)
-    began, rows, best = time.time(), [], None
+    deadline, rows, best = time.time() + 3600 * timeout_hours, [], None
     queue = list(space.trials(n_trials, seed))
     for start in range(0, len(queue), PARALLEL):
-        if time.time() - began > 3600 * timeout_hours or (best and start - best[0] > patience):
+        if time.time() > deadline or (best and start - best[0] > patience):
             break
         batch, clock = queue[start : start + PARALLEL], time.time()
-        estimators = [make(name, task, label, features, **params) for params in batch]
-        found = score_trials(folded, estimators, label, task, k).where(F.col("metric") == metric).collect()
+        estimators = [make(name, task, label, features, eval_set, **params) for params in batch]
+        found = score_trials(folded, estimators, label, task, k, deadline=deadline).where(F.col("metric") == metric).collect()
         values = {r["trial"]: r["score"] for r in found}
         seconds = (time.time() - clock) / len(batch)
         for i, params in enumerate(batch):
@@ -123,5 +133,5 @@ def tune(
     schema = f"trial_id int, model string, params string, `metrics.{metric}` double, `metrics.time_in_seconds` double"
     trials = df.sparkSession.createDataFrame(rows, schema)
     if run_log:
-        append_runs(trials, run_log)
+        RunLog(df.sparkSession, run_log).append(name, trials)
     return Tuning(best[2], best[1], trials)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +18,7 @@ from martloom.functions.values import col
 from martloom.operators.metrics import (
     OVER_SCORES,
     auc,
+    group_scalars,
     mean_scores,
     regression_metrics,
     stability,
@@ -53,17 +56,28 @@ def write_folds(df: DataFrame, label: str, key: str, task: str, k: int, seed: in
     return cut(folded, "folds", ("fold",))
 
 
-def out_of_fold(folded: DataFrame, estimators: list[Estimator], label: str, k: int) -> DataFrame:
-    """(trial, fold, label, score): every row scored by models that did not see its fold."""
+def out_of_fold(
+    folded: DataFrame, estimators: list[Estimator], label: str, k: int, deadline: float | None = None
+) -> DataFrame | None:
+    """(trial, fold, label, score): every row scored by models that did not see its fold.
 
-    def one(job: tuple[int, int]) -> DataFrame:
+    One pool works through the (trial, fold) jobs in order. Jobs that could only begin after
+    `deadline` are left out, and with them their trial; None where no trial is whole.
+    """
+
+    def one(job: tuple[int, int]) -> DataFrame | None:
         trial, i = job
+        if deadline is not None and time.time() > deadline:
+            return None
         model = estimators[trial].fit(folded.where(F.col("fold") != i))
         scored = model.transform(folded.where(F.col("fold") == i))
         return scored.select(F.lit(trial).alias("trial"), "fold", col(label), score_column(scored).alias("score"))
 
     jobs = [(t, i) for t in range(len(estimators)) for i in range(k)]
-    return reduce(DataFrame.unionByName, in_parallel(folded.sparkSession, one, jobs))
+    done = in_parallel(folded.sparkSession, one, jobs)
+    cut_off = {t for (t, _), df in zip(jobs, done, strict=True) if df is None}
+    whole = [df for (t, _), df in zip(jobs, done, strict=True) if t not in cut_off]
+    return reduce(DataFrame.unionByName, whole) if whole else None
 
 
 def classification_scores(scored: DataFrame, label: str, by: tuple[str, ...]) -> DataFrame:
@@ -88,11 +102,41 @@ Scorer = Callable[[DataFrame, str, tuple[str, ...]], DataFrame]
 SCORERS: dict[str, Scorer] = {"binary_classification": classification_scores, "regression": regression_scores}
 
 
+def score_columns(functions: dict[str, Callable[[Column, Column], Column]]) -> Scorer:
+    """A scorer from aggregate expressions of (label, score); Spark adds them up in parts."""
+
+    def scorer(scored: DataFrame, label: str, by: tuple[str, ...]) -> DataFrame:
+        y, p = col(label).cast("double"), col("score")
+        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), col(n).alias("score")) for n in functions])
+        found = scored.groupBy(*by).agg(*[f(y, p).cast("double").alias(n) for n, f in functions.items()])
+        return found.select(*by, F.inline(pairs))
+
+    return scorer
+
+
+def score_functions(functions: dict[str, Callable[[np.ndarray, np.ndarray], float]]) -> Scorer:
+    """A scorer from named Python functions of all labels and scores of a fold, as numpy arrays.
+
+    Such a function sees a whole fold at once, so a fold must fit into the memory of a task;
+    what can be written as an aggregate expression belongs into `score_columns`.
+    """
+
+    def scorer(scored: DataFrame, label: str, by: tuple[str, ...]) -> DataFrame:
+        rows = scored.select(*by, col(label).cast("double").alias("y"), F.col("score"))
+        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), col(n).alias("score")) for n in functions])
+        return group_scalars(rows, by, ("y", "score"), functions).select(*by, F.inline(pairs))
+
+    return scorer
+
+
 def score_trials(
-    folded: DataFrame, estimators: list[Estimator], label: str, task: str, k: int, scorer: Scorer | None = None
-) -> DataFrame:
+    folded: DataFrame, estimators: list[Estimator], label: str, task: str, k: int, scorer: Scorer | None = None,
+    deadline: float | None = None,
+) -> DataFrame:
     """(trial, metric, score): fold scores of each estimator averaged over the folds."""
-    scored = out_of_fold(folded, estimators, label, k)
+    scored = out_of_fold(folded, estimators, label, k, deadline)
+    if scored is None:
+        return folded.sparkSession.createDataFrame([], "trial int, metric string, score double")
     rows = (scorer or SCORERS[task])(scored, label, ("trial", "fold"))
     return mean_scores(rows, ("trial", "metric"))
 

@@ -34,12 +34,6 @@ class AggregatePlan:
         return self.types.apply(df.groupBy(col(self.key)).agg(*aggs))
 
 
-def key_repeats(df: DataFrame, key: str) -> bool:
-    """Whether any key (null being a key) has two rows."""
-    most = df.groupBy(col(key)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    return bool(most and most > 1)
-
-
 @dataclass(frozen=True)
 class Aggregate:
     """Chain stage: aggregate by key unless the key is already unique.
@@ -60,13 +54,13 @@ class Aggregate:
     def fit_apply(self, df: DataFrame) -> tuple[Plan, DataFrame]:
         """The plan and the aggregated table with narrowed new columns.
 
-        The aggregate is written once: its statistics and the result read the written
-        table instead of grouping the rows a second time.
+        The aggregate is written once: whether a key (null being one) repeats, its statistics
+        and the result read the written table instead of grouping the rows again.
         """
-        if not key_repeats(df, self.key):
-            return Identity(), df
         plan = self.plan(df)
         table = cut(plan.apply(df), "aggregate")
+        if (table.agg(F.max("len").alias("most")).first()["most"] or 0) <= 1:
+            return Identity(), df
         types = fit_new_columns(table, df.columns)
         return replace(plan, types=types), types.apply(table)
 

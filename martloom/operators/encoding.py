@@ -5,8 +5,12 @@ from __future__ import annotations
 import math
 import sys
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml import Transformer
+from pyspark.ml.feature import PCA, ElementwiseProduct, OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +19,8 @@ from pyspark.sql import Window as W
 from martloom.functions.dates import DATE_FEATURES
 from martloom.functions.values import col
 from martloom.operators.narrowing import Narrowing, NarrowPlan, is_categorical, number_type
-from martloom.operators.plan import Identity, Plan
-from martloom.operators.profile import ColumnStats, distinct_values
+from martloom.operators.plan import DropColumns, Identity, Plan
+from martloom.operators.profile import ColumnStats, Distinct, distinct_values
 from martloom.session import cut, written_side
 
 
@@ -44,12 +48,19 @@ class OneHotPlan:
 
 
 def fit_one_hot(
-    df: DataFrame, columns: list[str], null_label: str = "null", as_boolean: bool = False, limit: int | None = None
-) -> OneHotPlan:
-    """Learn the values of each column; with a `limit` more values than that are an error, not a cut."""
+    df: DataFrame, columns: list[str], null_label: str = "null", as_boolean: bool = False, limit: int | None = None,
+    known: dict[str, Distinct] | None = None,
+) -> OneHotPlan:
+    """Learn the values of each column that are not `known` yet; with a `limit` more values than that are an error, not a cut.
+
+    A flag column per value needs the values in the plan, and so on the driver; columns of very
+    many values belong into `SparseOneHot`.
+    """
     if not columns:
         return OneHotPlan((), null_label, as_boolean)
-    found = distinct_values(df, columns, sys.maxsize if limit is None else limit + 1)
+    known = known or {}
+    found = known | distinct_values(df, [c for c in columns if c not in known], sys.maxsize if limit is None else limit + 1)
+    found = {c: found[c] for c in columns}
     wide = [c for c in columns if found[c].values is None]
     if wide:
         raise ValueError(f"more than {limit} values in {wide}: drop or label-encode these columns")
@@ -119,6 +130,41 @@ class Encode:
         return EncodingPlan(fit_one_hot(df, categories, limit=self.limit), fit_dates(df, self.features))
 
 
+@dataclass(frozen=True)
+class EncodeNarrow:
+    """Chain stage: `DropHighCardinality` and then `Encode`, which share one look at the values.
+
+    Categorical columns with `threshold` or more values, null being a value, go; those to
+    ignore stay and are encoded whatever their width.
+    """
+
+    threshold: int = 10
+    ignore: tuple[str, ...] = ()
+    features: tuple[str, ...] = ("unix",)
+
+    def fit(self, df: DataFrame) -> Plan:
+        if df.isEmpty():
+            return Identity()
+        categories = [f.name for f in df.schema.fields if is_categorical(f)]
+        free = [c for c in categories if c not in self.ignore]
+        found = distinct_values(df, free, self.threshold)
+        wide = tuple(c for c, d in found.items() if d.values is None or len(d.values) + (d.n_null > 0) >= self.threshold)
+        drop = DropColumns(wide)
+        kept = drop.apply(df)
+        known = {c: d for c, d in found.items() if c not in wide}
+        one_hot = fit_one_hot(kept, [c for c in categories if c not in wide], known=known)
+        return DroppedAndEncoded(drop, EncodingPlan(one_hot, fit_dates(kept, self.features)))
+
+
+@dataclass(frozen=True)
+class DroppedAndEncoded:
+    drop: DropColumns
+    encode: EncodingPlan
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return self.encode.apply(self.drop.apply(df))
+
+
 @dataclass(frozen=True)
 class OneHotBoolean:
     """Chain stage: every string column to boolean columns, null as `{column}_nan`."""
@@ -135,11 +181,11 @@ class OneHotBoolean:
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """Distinct non-null values with codes 0..n-1 in value order.
 
-    The values are range-partitioned and written with their range number; each range is
-    ranked on its own and shifted by the sizes of the ranges before it, so no task sorts
-    the whole dictionary.
+    The values are written, so sampling their ranges does not gather them again, and
+    range-partitioned; each range is ranked on its own and shifted by the sizes of the ranges
+    before it, so no task sorts the whole dictionary.
     """
-    values = df.select(col(column).alias("value")).where("value is not null").distinct()
+    values = cut(df.select(col(column).alias("value")).where("value is not null").distinct(), "values")
     ranged = cut(values.repartitionByRange("value").withColumn("bucket", F.spark_partition_id()), "labels")
     before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     # One row per range, so this window and its broadcast are as small as the partition count.
@@ -156,27 +202,105 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
     return df.join(codes, column, "left").drop(column)
 
 
+# -- sparse one-hot -----------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class SparseOneHotPlan:
+    """Columns of any number of values as one sparse vector of flags.
+
+    `codes` has a written table (value, code) per column; a column's flags begin where those
+    of the columns before it end, values ascending and null last.
+    """
+
+    codes: tuple[tuple[str, DataFrame], ...]
+    sizes: tuple[int, ...]  # flags per column
+    has_null: tuple[bool, ...]
+    output: str
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """The other columns, then the vector; a value that was not learned sets no flag."""
+        names = [c for c, _ in self.codes]
+        for i, (c, table) in enumerate(self.codes):
+            own = table.select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
+            df = df.join(own, col(c) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
+        indices = []
+        for i, (c, size, null) in enumerate(zip(names, self.sizes, self.has_null)):
+            unknown = F.when(col(c).isNull(), float(size - 1)) if null else F.lit(None).cast("double")
+            # A code beyond the flags sets none of them.
+            indices.append(F.coalesce(F.col(f"__c{i}").cast("double"), unknown, F.lit(float(size))).alias(f"__c{i}"))
+        rest = [c for c in df.columns if not c.startswith("__c") and c not in names]
+        coded = df.select(*[col(c) for c in rest], *indices)
+        columns = [f"__c{i}" for i in range(len(names))]
+        flags = [f"__f{i}" for i in range(len(names))]
+        # With "keep" the encoder has one flag more, for what is not known, and drops that one.
+        widths = df.sparkSession.createDataFrame([tuple(float(n - 1) for n in self.sizes)], [*columns])
+        encoder = OneHotEncoder(inputCols=columns, outputCols=flags, handleInvalid="keep", dropLast=True).fit(widths)
+        out = VectorAssembler(inputCols=flags, outputCol=self.output).transform(encoder.transform(coded))
+        return out.select(*[col(c) for c in rest], col(self.output))
+
+    def positions(self) -> DataFrame:
+        """(position, column, value): what each flag of the vector stands for."""
+        parts, start = [], 0
+        for (c, table), size, null in zip(self.codes, self.sizes, self.has_null):
+            parts.append(table.select((F.lit(start) + F.col("code")).alias("position"), F.lit(c).alias("column"),
+                                      F.col("value").cast("string").alias("value")))
+            if null:
+                row = table.sparkSession.range(1).select(
+                    (F.lit(start + size - 1).cast("bigint")).alias("position"), F.lit(c).alias("column"),
+                    F.lit(None).cast("string").alias("value"),
+                )
+                parts.append(row)
+            start += size
+        return reduce(DataFrame.unionByName, parts)
+
+
+@dataclass(frozen=True)
+class SparseOneHot:
+    """Chain stage: the named columns to one sparse vector; their values never reach the driver."""
+
+    columns: tuple[str, ...]
+    output: str = "flags"
+
+    def fit(self, df: DataFrame) -> SparseOneHotPlan:
+        codes = tuple((c, written_side(label_codes(df, c), "codes")) for c in self.columns)
+        row = df.agg(*[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(self.columns)]).first()
+        nulls = tuple(row[f"n{i}"] > 0 for i in range(len(self.columns)))
+        sizes = tuple(table.count() + null for (_, table), null in zip(codes, nulls))
+        return SparseOneHotPlan(codes, sizes, nulls, self.output)
+
+
 # -- components of boolean columns --------------------------------------------
 
 
 @dataclass(frozen=True)
 class PcaPlan:
+    """A linear map of a vector of flags: centred, projected, each component signed."""
+
     columns: tuple[str, ...]
-    mean: tuple[float, ...]
-    loadings: tuple[tuple[float, ...], ...]
+    models: tuple[Transformer, ...]
+    n_components: int
+
+    @property
+    def loadings(self) -> tuple[tuple[float, ...], ...]:
+        """The weights of the flags in each component."""
+        _, components, signed = self.models
+        return tuple(map(tuple, (components.pc.toArray() * signed.getScalingVec().toArray()).T.tolist()))
 
     def apply(self, df: DataFrame) -> DataFrame:
+        """The other columns, then the components as `x_0`, `x_1`, ..."""
         keep = [col(c) for c in df.columns if c not in self.columns]
-        out = []
-        for i, weights in enumerate(self.loadings):
-            terms = [
-                (F.coalesce(col(c).cast("int"), F.lit(0)) - F.lit(m)) * F.lit(w) for c, m, w in zip(self.columns, self.mean, weights) if w
-            ]
-            total = F.lit(0.0)
-            for term in terms:
-                total = total + term
-            out.append(total.alias(f"x_{i}"))
-        return df.select(*keep, *out)
+        if not self.columns:
+            return df.select(*keep)
+        mapped = df.select(*keep, _flag_vector(self.columns).alias("__v"))
+        for model in self.models:
+            mapped = model.transform(mapped)
+        parts = vector_to_array("__x")
+        return mapped.select(*keep, *[parts[i].alias(f"x_{i}") for i in range(self.n_components)])
+
+
+def _flag_vector(flags: tuple[str, ...]) -> Column:
+    return array_to_vector(F.array(*[F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in flags]))
 
 
 @dataclass(frozen=True)
@@ -192,15 +316,12 @@ class ReduceBooleans:
         flags = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)]
         k = round(math.sqrt(len(flags)))
         if not flags:
-            return PcaPlan((), (), ())
-        flat = df.select(*[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(f"b{i}") for i, c in enumerate(flags)])
-        vectors = VectorAssembler(inputCols=flat.columns, outputCol="v").transform(flat).select("v")
-        centred = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c").fit(vectors)
-        model = PCA(k=k, inputCol="c", outputCol="p").fit(centred.transform(vectors))
+            return PcaPlan((), (), 0)
+        vectors = df.select(_flag_vector(tuple(flags)).alias("__v"))
+        centred = StandardScaler(withMean=True, withStd=False, inputCol="__v", outputCol="__c").fit(vectors)
+        model = PCA(k=k, inputCol="__c", outputCol="__p").fit(centred.transform(vectors))
         pc = model.pc.toArray()
         leads = [column[int((abs(column) >= abs(column).max() - 1e-9).argmax())] for column in pc.T]
-        signed = [column * (1.0 if lead >= 0 else -1.0) for column, lead in zip(pc.T, leads)]
-        return PcaPlan(
-            tuple(flags), tuple(float(x) for x in centred.mean), tuple(tuple(float(x) for x in c) for c in signed)
-        )
-
+        signs = Vectors.dense([1.0 if lead >= 0 else -1.0 for lead in leads])
+        signed = ElementwiseProduct(scalingVec=signs, inputCol="__p", outputCol="__x")
+        return PcaPlan(tuple(flags), (centred, model, signed), k)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,123 @@ def gini_of_weights(df: DataFrame, target: str, models: list[str], trials: list[
     )
 
 
+# -- bounds of the AUC --------------------------------------------------------
+
+EDGE_ROWS = 4096  # rows a trial's bin edges are taken from; any edges give true bounds
+BINS = 1024
+ROWS_AT_ONCE = 1 << 14
+
+
+def weighted_scores(values: list[np.ndarray], weights: Weights) -> np.ndarray:
+    """`weighted_mean` over arrays, in the same order of operations."""
+    total = np.zeros(len(values[0]))
+    for v, w in zip(values, weights, strict=True):
+        total = total + w * v
+    return total / len(values)
+
+
+def edge_rows(df: DataFrame, models: list[str], seed: int = 42) -> list[np.ndarray]:
+    """At most `EDGE_ROWS` rows of the predictions, drawn by a seeded order."""
+    clean = df.select(*[col(m).cast("double").alias(f"m{i}") for i, m in enumerate(models)]).dropna()
+    rows = clean.orderBy(F.rand(seed)).limit(EDGE_ROWS).toArrow()
+    return [rows.column(i).to_numpy() for i in range(len(models))]
+
+
+def trial_edges(sample: list[np.ndarray], trials: list[Weights]) -> list[np.ndarray]:
+    """Inner bin edges of each trial: quantiles of the sample's scores."""
+    out = []
+    for w in trials:
+        scores = weighted_scores(sample, w)
+        scores = np.unique(scores[np.isfinite(scores)])
+        at = np.linspace(0, len(scores) - 1, min(BINS - 1, len(scores))).astype(int)
+        out.append(scores[at] if len(scores) else scores)
+    return out
+
+
+def gini_bounds(
+    df: DataFrame, target: str, models: list[str], trials: list[Weights], sample: list[np.ndarray]
+) -> DataFrame:
+    """(trial, low, high): a true lower and upper bound of every trial's Gini, in one aggregation.
+
+    Each task fills two histograms a trial, of the positive and the negative rows, whose sizes
+    do not depend on the rows; the histograms are added up trial by trial as they arrive. Pairs
+    in different bins are decided; those within a bin are all lost, or all won. Null where a
+    class is missing or a row has no score or no target.
+    """
+    edges = trial_edges(sample, trials)
+    names = [f"m{i}" for i in range(len(models))]
+
+    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last place counts rows without a score or target.
+        held = [np.zeros((2, len(e) + 2), np.int64) for e in edges]
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                values = [part.column(n).to_numpy(zero_copy_only=False) for n in names]
+                positive = part.column("y").to_numpy(zero_copy_only=False)
+                known, positive = positive >= 0, (positive == 1).astype(np.int64)
+                for w, e, h in zip(trials, edges, held, strict=True):
+                    scores = weighted_scores(values, w)
+                    place = np.where(np.isnan(scores) | ~known, len(e) + 1, np.searchsorted(e, scores, "right"))
+                    h += np.bincount(place + positive * (len(e) + 2), minlength=2 * (len(e) + 2)).reshape(2, -1)
+        yield pa.record_batch([pa.array(range(len(held)), pa.int32()), pa.array([h.tobytes() for h in held], pa.binary())],
+                              ["trial", "bins"])
+
+    def bound(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for trial, bins in zip(batch.column("trial").to_pylist(), batch.column("bins").to_pylist(), strict=True):
+                bins = np.frombuffer(bins, np.int64).reshape(2, -1)
+                held[trial] = held[trial] + bins if trial in held else bins
+        rows = []
+        for trial, (neg, pos) in held.items():
+            low = high = None
+            # Python integers: products of counts may pass 64 bits.
+            pairs = int(pos[:-1].sum()) * int(neg[:-1].sum())
+            if pairs and not neg[-1] + pos[-1]:
+                below = np.cumsum(neg) - neg
+                sure = sum(int(p) * int(b) for p, b in zip(pos, below, strict=True) if p)
+                open_ = sum(int(p) * int(n) for p, n in zip(pos, neg, strict=True) if p and n)
+                low, high = 2 * sure / pairs - 1, 2 * (sure + open_) / pairs - 1
+            rows.append((trial, low, high))
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        kinds = (pa.int32(), pa.float64(), pa.float64())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["trial", "low", "high"])
+
+    y = F.coalesce((col(target).cast("int") == 1).cast("int"), F.lit(-1)).alias("y")
+    rows = df.select(y, *[F.nanvl(col(m).cast("double"), F.lit(None)).alias(n) for m, n in zip(models, names)])
+    filled = rows.mapInArrow(fill, "trial int, bins binary")
+    return filled.repartition("trial").mapInArrow(bound, "trial int, low double, high double")
+
+
+# Bounds and exact scores come from different sums of the same counts.
+ROUNDING = 1e-9
+
+
+def gini_of_promising(
+    df: DataFrame, target: str, models: list[str], trials: list[Weights], sample: list[np.ndarray], best: float | None,
+    sign: float = 1.0,
+) -> DataFrame:
+    """(trial, gini) of the trials that can beat all before them and `best`; no other can be a gain."""
+    bounds = {r.trial: (r.low, r.high) for r in gini_bounds(df, target, models, trials, sample).collect()}
+    reached, open_ = -np.inf if best is None else sign * best, []
+    for i in range(len(trials)):
+        low, high = bounds.get(i, (None, None))
+        if low is None:
+            continue
+        low, high = (low, high) if sign > 0 else (-high, -low)
+        if high >= reached - ROUNDING:
+            open_.append(i)
+        reached = max(reached, low)
+    if not open_:
+        return df.sparkSession.createDataFrame([], "trial int, gini double")
+    found = gini_of_weights(df, target, models, [trials[i] for i in open_])
+    return found.select(F.array(*[F.lit(i) for i in open_])[F.col("trial")].alias("trial"), "gini")
+
+
+# -- regression ---------------------------------------------------------------
+
+
 def mape_of_weights(df: DataFrame, target: str, models: list[str], trials: list[Weights]) -> DataFrame:
     """(trial, mape) of the weighted sum for every weight vector, in one aggregation."""
     y = col(target).cast("double")
@@ -113,23 +232,24 @@ def search_weights(
     direction: str | None = None,
     patience: int = PATIENCE,
     max_trials: int | None = None,
-    batch: int = 64,
+    batch: int = 256,
     seed: int = 42,
     evaluate: Evaluate | None = None,
 ) -> Search:
-    """Best weights on a validation table.
+    """Best weights on a validation table; `df` is read several times, so it should be a written one.
 
     Classification tries the whole grid first, then draws, and scores by Gini; regression
-    only draws and scores by percentage error; `evaluate` scores otherwise. Trials run in
-    batches, one Spark job each, until `patience` trials bring no gain.
+    only draws and scores by percentage error; `evaluate` scores otherwise. Trials are looked
+    at one after the other until `patience` trials bring no gain; they run in batches. For the
+    Gini a batch is bounded by histograms first, and only trials whose bound reaches the best
+    so far are ranked; those left out could not have been a gain.
     """
     classify = task == "binary_classification"
     direction = direction or ("maximize" if classify else "minimize")
     sign = 1.0 if direction == "maximize" else -1.0
-    first = grid(len(models)) if classify else []
-    source = iter([*first])
-    tail = draws(len(models), seed)
-    evaluate = evaluate or (gini_of_weights if classify else mape_of_weights)
+    source, tail = iter(grid(len(models)) if classify else []), draws(len(models), seed)
+    bounded = classify and evaluate is None
+    sample = edge_rows(df, models) if bounded else []
     best, best_score, best_at, done = None, None, 0, 0
     while best is None or done - best_at <= patience:
         room = batch if max_trials is None else min(batch, max_trials - done)
@@ -137,11 +257,18 @@ def search_weights(
         trials += list(islice(tail, room - len(trials)))
         if not trials:
             break
-        for row in sorted(evaluate(df, target, models, trials).collect()):
-            value = row[1]
+        if bounded:
+            table = gini_of_promising(df, target, models, trials, sample, best_score, sign)
+        else:
+            table = (evaluate or mape_of_weights)(df, target, models, trials)
+        values = dict(tuple(r) for r in table.collect())
+        for i, weights in enumerate(trials):
+            if best is not None and done - best_at > patience:
+                break
+            value = values.get(i)
             if value is not None and (best is None or sign * value > sign * best_score):
-                best, best_score, best_at = trials[row["trial"]], value, done + row["trial"]
-        done += len(trials)
+                best, best_score, best_at = weights, value, done
+            done += 1
         if best is None:
             raise ValueError("no trial could be scored: a class is missing")
     return Search(best, best_score, done)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,6 +138,11 @@ def auc(
             F.count_if(F.col("s").isNull() | F.col("pos").isNull()).alias("bad"),
         )
     )
+    return auc_of_points(points, keys, ranges).withColumnsRenamed(dict(zip(keys, by)))
+
+
+def auc_of_points(points: DataFrame, keys: list[str], ranges: ScoreRanges) -> DataFrame:
+    """`auc` from one row per group and distinct score: (keys, s, pos, neg, bad)."""
     points = ranges.apply(points, "s", "r")
     below = W.partitionBy(*keys, "r").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
     inside = points.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
@@ -151,7 +158,7 @@ def auc(
     won = F.sum(F.col("won") + F.col("pos") * F.col("earlier"))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     found = F.when(F.sum("bad") == 0, F.try_divide(won, pairs)).alias("auc")
-    return joined.groupBy(*keys).agg(found).withColumnsRenamed(dict(zip(keys, by)))
+    return joined.groupBy(*keys).agg(found)
 
 
 def with_gini(auc_table: DataFrame) -> DataFrame:
@@ -231,6 +238,29 @@ def regression_metrics(df: DataFrame, truth: str, prediction: str, by: tuple[str
     )
 
 
+# -- functions of the caller --------------------------------------------------
+
+
+def group_scalars(
+    df: DataFrame, by: tuple[str, ...], columns: tuple[str, ...], functions: dict[str, Callable[..., float]]
+) -> DataFrame:
+    """(by, one number per function): each Python function gets the group's `columns` as numpy arrays.
+
+    Nulls arrive as NaN; a function that gives None or NaN gives null. Each group is in one
+    task; aggregates that Spark has should be used instead where there are any.
+    """
+
+    def one(function: Callable[..., float]) -> Callable:
+        def call(*series: pd.Series) -> float:
+            value = function(*[s.to_numpy() for s in series])
+            return math.nan if value is None else float(value)
+
+        return F.pandas_udf(call, "double")
+
+    found = [F.nanvl(one(f)(*[col(c) for c in columns]), F.lit(None)).alias(n) for n, f in functions.items()]
+    return df.groupBy(*[col(b) for b in by]).agg(*found)
+
+
 # -- leaderboards -------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martloom.functions.dates import DATE_FORMATS, parse_date
+from martloom.functions.dates import DATE_FORMATS, parse_date, parse_moment
 from martloom.functions.values import col, is_numeric, present_sql, quoted
 from martloom.operators.plan import Identity, Plan
 from martloom.operators.profile import ColumnStats, Profile, integral, profile
@@ -46,11 +46,13 @@ class Narrowing:
     logical: str
     type: T.DataType
     formats: tuple[str, ...] = ()
+    timed: bool = False
 
     def expression(self) -> Column:
         c = col(self.name)
         if self.formats:
-            c = F.expr(parse_date(quoted(self.name), self.formats)).cast(self.type)
+            parse = parse_moment if self.timed else parse_date
+            c = F.expr(parse(quoted(self.name), self.formats)).cast(self.type)
         elif self.logical not in ("categorical", "category"):
             c = c.cast(self.type)
         kind = {"logical": "categorical"} if self.logical in ("categorical", "category") else {}
@@ -138,8 +140,10 @@ def fit_narrowing(
         if s is None:
             continue
         if f.name in dates:
+            timed = bool(s.n_timed)
             day = ("datetime64", T.TimestampNTZType()) if flavour == "pandas" else ("date", T.DateType())
-            out.append(Narrowing(f.name, *day, formats=_date_formats(s)))
+            day = ("datetime", T.TimestampNTZType()) if timed and flavour != "pandas" else day
+            out.append(Narrowing(f.name, *day, formats=_date_formats(s), timed=timed))
         elif isinstance(f.dataType, T.StringType):
             out.append(Narrowing(f.name, "category" if flavour == "pandas" else "categorical", f.dataType))
         else:

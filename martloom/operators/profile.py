@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martloom.functions.dates import DATE_FORMATS, DATE_PATTERN, format_test, parse_date
+from martloom.functions.dates import DATE_FORMATS, DATE_PATTERN, format_start, has_time, parse_date, parse_moment
 from martloom.functions.values import FLOATING, INTEGRAL, col, is_numeric, present, present_sql, quoted
 
 # Columns per aggregation job: generated code for many more is too large to be compiled
@@ -38,6 +38,7 @@ class ColumnStats:
     n_fraction: int | None = None
     n_not_date: int | None = None
     n_unparsed: int | None = None
+    n_timed: int | None = None
     n_formats: tuple[int, ...] = ()
     n_bytes: int | None = None
 
@@ -87,10 +88,11 @@ def _expressions(f: T.StructField, want: frozenset[str]) -> dict[str, str]:
     if "fraction" in want and isinstance(t, (*FLOATING, T.DecimalType)):
         out["n_fraction"] = f"count_if(cast({c} as double) <> rint({c}))"
     if "dates" in want and isinstance(t, T.StringType):
-        counts = ", ".join(f"count_if({format_test(c, form)})" for form in DATE_FORMATS)
+        counts = ", ".join(f"count_if({format_start(c, form)})" for form in DATE_FORMATS)
         out["n_not_date"] = f"count_if(not {c} rlike r'{DATE_PATTERN}')"
         out["n_formats"] = f"array({counts})"
-        out["n_unparsed"] = f"count_if({c} is not null and {parse_date(c)} is null)"
+        out["n_unparsed"] = f"count_if({c} is not null and {parse_date(c)} is null and {parse_moment(c)} is null)"
+        out["n_timed"] = f"count_if({has_time(c)})"
     if "bytes" in want and isinstance(t, T.StringType):
         out["n_bytes"] = f"coalesce(sum(octet_length({c})), 0)"
     return out
@@ -117,41 +119,74 @@ def profile(
     return Profile(row["n"], found)
 
 
+def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(place, n_distinct): exact number of non-null values per column, by its place in `columns`.
+
+    Each value becomes (place, two hashes), which a task reduces to the different ones before
+    they are shuffled; 128 bits stand for the value. So a row costs one small pair per column,
+    not a copy of itself per column, and values of one column are counted by many tasks.
+    """
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    hashes = [present(f.name, f.dataType) for f in fields]
+    pairs = [
+        F.struct(F.lit(i).alias("place"), F.when(c.isNotNull(), F.xxhash64(c)).alias("a"), F.xxhash64(c, F.lit(i)).alias("b"))
+        for i, c in enumerate(hashes)
+    ]
+    values = df.select(F.inline(F.array(*pairs))).groupBy("place", "a", "b").agg(F.lit(1).alias("one"))
+    return values.groupBy("place").agg(F.count("a").alias("n_distinct"))
+
+
 def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """The profile as a table: one row per column, ranges as double (dates as epoch days).
 
     `exact=False` swaps the distinct counts for sketches, which need no shuffle of values.
     """
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    aggs, entries = [F.count(F.lit(1)).alias("n_rows")], []
-    for i, f in enumerate(df.schema.fields):
-        c, t = present(f.name, f.dataType), f.dataType
+    per_column, fields = [], df.schema.fields
+    for i, f in enumerate(fields):
+        c, t = present_sql(f.name, f.dataType), f.dataType
         if is_numeric(t):
-            low, high = F.min(c).cast("double"), F.max(c).cast("double")
+            low, high = f"cast(min({c}) as double)", f"cast(max({c}) as double)"
         elif isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            days = F.unix_date(c.cast("date")).cast("double")
-            low, high = F.min(days), F.max(days)
+            days = f"cast(unix_date(cast({c} as date)) as double)"
+            low, high = f"min({days})", f"max({days})"
         else:
-            low = high = F.max(F.lit(None).cast("double"))
-        aggs += [
-            F.count_if(c.isNull()).alias(f"n_null_{i}"),
-            distinct(c).alias(f"n_distinct_{i}"),
-            low.alias(f"min_{i}"),
-            high.alias(f"max_{i}"),
-        ]
-        entries.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.col("n_rows"),
-                F.col(f"n_null_{i}").alias("n_null"),
-                F.col(f"n_distinct_{i}").alias("n_distinct"),
-                F.col(f"min_{i}").alias("min_value"),
-                F.col(f"max_{i}").alias("max_value"),
-            )
-        )
+            low = high = "cast(null as double)"
+        aggregates = [f"count_if({c} is null) as n{i}", f"{low} as l{i}", f"{high} as h{i}"]
+        per_column.append(aggregates + ([] if exact else [f"approx_count_distinct({c}) as d{i}"]))
+    row = batched(df, per_column)
+    rows = [(i, f.name, row["n"], row[f"n{i}"], row[f"l{i}"], row[f"h{i}"], row.get(f"d{i}")) for i, f in enumerate(fields)]
+    names = "place int, column string, n_rows bigint, n_null bigint, min_value double, max_value double, n_distinct bigint"
+    found = df.sparkSession.createDataFrame(rows, names)
+    if exact:
+        # One row per column on both sides; the values of an empty table have no row.
+        counts = distinct_counts(df)
+        found = found.drop("n_distinct").join(counts, "place", "left").fillna(0, ["n_distinct"])
+    return found.select("column", "n_rows", "n_null", "n_distinct", "min_value", "max_value")
+
+
+def column_sketches(df: DataFrame) -> DataFrame:
+    """(column, n_rows, n_null, sketch): a distinct-count sketch per column that can be kept and merged, in one pass."""
+    aggs, entries = [F.count(F.lit(1)).alias("n_rows")], []
+    for i, f in enumerate(df.schema.fields):
+        c = present(f.name, f.dataType)
+        whole = isinstance(f.dataType, (T.IntegerType, T.LongType, T.StringType))
+        aggs += [F.count_if(c.isNull()).alias(f"n{i}"), F.hll_sketch_agg(c if whole else c.cast("string")).alias(f"s{i}")]
+        entries.append(F.struct(F.lit(f.name).alias("column"), F.col("n_rows"), F.col(f"n{i}").alias("n_null"), F.col(f"s{i}").alias("sketch")))
     return df.agg(*aggs).select(F.inline(F.array(*entries)))
 
 
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """`column_sketches` of several parts of a table, united by name, as those of the whole."""
+    return sketches.groupBy("column").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"), F.hll_union_agg("sketch").alias("sketch")
+    )
+
+
+def sketch_counts(sketches: DataFrame) -> DataFrame:
+    """(column, n_rows, n_null, n_distinct): about 2 % of error."""
+    return sketches.select("column", "n_rows", "n_null", F.hll_sketch_estimate("sketch").alias("n_distinct"))
+
+
 def proves_at_least(estimate: int, n: int) -> bool:
     """Whether a distinct-count sketch can only have come from `n` or more values."""
     if n > HLL_LINEAR_LIMIT:
@@ -184,8 +219,9 @@ def distinct_values(df: DataFrame, columns: list[str], at_least: int) -> dict[st
     else:
         # Above the linear range: count exactly, columns far below the limit need no count.
         unsure = [c for i, c in enumerate(columns) if row[f"d{i}"] * 2 >= at_least]
-        exact = df.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(unsure)]).first() if unsure else {}
-        wide = {c for i, c in enumerate(unsure) if exact[f"d{i}"] >= at_least}
+        counts = {r.place: r.n_distinct for r in distinct_counts(df, unsure).collect()} if unsure else {}
+        places = [f.name for f in df.schema.fields if f.name in unsure]
+        wide = {c for i, c in enumerate(places) if counts.get(i, 0) >= at_least}
         narrow = [c for c in columns if c not in wide]
     out = {c: Distinct(None, row[f"n{i}"]) for i, c in enumerate(columns)}
     if narrow:

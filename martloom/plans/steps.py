@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from martloom.operators.aggregation import Aggregate
 from martloom.operators.correlation import DropCorrelated
-from martloom.operators.encoding import Encode
-from martloom.operators.filters import DropConstant, DropHighCardinality, DropNullHeavy
+from martloom.operators.encoding import EncodeNarrow
+from martloom.operators.filters import DropConstant, DropNullHeavy
 from martloom.operators.narrowing import Narrow
 from martloom.operators.scaling import Scale
 from martloom.plans.chain import Chain
@@ -20,8 +20,7 @@ def step1(key: str = KEY, ignore: tuple[str, ...] = IGNORE, date_features: tuple
     return Chain(
         (
             Narrow(),
-            DropHighCardinality(threshold=11, ignore=ignore),
-            Encode(features=date_features),
+            EncodeNarrow(threshold=11, ignore=ignore, features=date_features),
             Aggregate(key, ignore, stats=("mean", "std")),
         )
     )

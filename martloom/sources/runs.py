@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +44,40 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
+@dataclass(frozen=True)
+class RunLog:
+    """Runs of named experiments, each with the moment it began, in a folder of Parquet files.
+
+    Runs are only ever added; files of different experiments may have different metrics.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def now(self) -> datetime.datetime:
+        return self.spark.sql("select current_timestamp()").first()[0]
+
+    def append(self, experiment: str, runs: DataFrame) -> None:
+        """Add `runs`; those without a `start_time` begin now."""
+        began = col("start_time") if "start_time" in runs.columns else F.current_timestamp()
+        append_runs(runs.withColumns({"start_time": began, "experiment": F.lit(experiment)}), self.path)
+
+    def scores(self, experiment: str, moment: datetime.datetime | None = None, keep: tuple[str, ...] = ("model",)) -> DataFrame:
+        """What the runs of an experiment, begun at `moment` or later, have measured."""
+        runs = read_runs(self.spark, self.path).where(col("experiment") == experiment)
+        if moment is not None:
+            runs = runs.where(col("start_time") >= F.lit(moment))
+        return metric_columns(runs, keep)
+
+
+def metric_columns(runs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    metrics = [c for c in runs.columns if c.startswith("metrics.")]
+    return runs.select(*[col(c) for c in keep], *[col(c).alias(c.rsplit(".", 1)[-1]) for c in metrics])
+
+
 def runs_after(runs: DataFrame, moment: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Metric columns, without their prefix, of the runs started after `moment`."""
-    metrics = [c for c in runs.columns if c.startswith("metrics.")]
-    return runs.where(F.col("start_time") > moment).select(
-        *[col(c) for c in keep], *[col(c).alias(c.rsplit(".", 1)[-1]) for c in metrics]
-    )
+    return metric_columns(runs.where(F.col("start_time") > moment), keep)
 
 
 # -- run report ---------------------------------------------------------------

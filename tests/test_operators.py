@@ -19,7 +19,17 @@ from martloom.operators.combine import merge_features, supertype, union_relaxed
 from martloom.learning.registry import make_for_classes
 from martloom.operators.correlation import DropCorrelated, correlations
 from martloom.operators.encoding import OneHotBoolean, ReduceBooleans, fit_one_hot, label_codes
-from martloom.operators.ensemble import PATIENCE, draws, gini_of_weights, grid, search_weights, wide_predictions
+from martloom.operators.ensemble import (
+    PATIENCE,
+    draws,
+    edge_rows,
+    gini_bounds,
+    gini_of_promising,
+    gini_of_weights,
+    grid,
+    search_weights,
+    wide_predictions,
+)
 from martloom.operators.filters import align, remove_rows
 from martloom.operators.metrics import (
     ScoreRanges,
@@ -144,20 +154,47 @@ def test_search_stops_without_gain_and_regression_minimises(spark):
 
 
 def searched(y, m, patience):
-    """Grid and draws one after another, in batches of 64: best weights, Gini, its place, trials."""
+    """Grid and draws one after another: best weights, Gini, its place, trials."""
     source, best, at, done = chain(grid(m.shape[1]), draws(m.shape[1])), -2.0, 0, 0
     while done - at <= patience:
-        for i, w in enumerate(islice(source, 64), done):
-            score = sum(x * m[:, j] for j, x in enumerate(w)) / len(w)
-            one, none = score[y == 1], np.sort(score[y != 1])
-            below = np.searchsorted(none, one, "left") + np.searchsorted(none, one, "right")
-            gini = below.sum() / (len(one) * len(none)) - 1
-            if gini > best + 1e-12:
-                best, at, weights = gini, i, w
-        done += 64
+        w = next(source)
+        score = sum(x * m[:, j] for j, x in enumerate(w)) / len(w)
+        one, none = score[y == 1], np.sort(score[y != 1])
+        below = np.searchsorted(none, one, "left") + np.searchsorted(none, one, "right")
+        gini = below.sum() / (len(one) * len(none)) - 1
+        if gini > best + 1e-12:
+            best, at, weights = gini, done, w
+        done += 1
     return weights, best, at, done
 
 
+def test_bounds_hold_every_gini(spark):
+    """Also with ties, scores without a bound, and rows without a target."""
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 1), rng.choice([0.1, 0.5, rng.random()]), rng.gauss(0, 1) ** 3) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "y int, a double, b double").repartition(5).cache()
+    trials = [*grid(2), *islice(draws(2), 20)]
+    exact = {r["trial"]: r["gini"] for r in gini_of_weights(df, "y", ["a", "b"], trials).collect()}
+    bounds = {r.trial: (r.low, r.high) for r in gini_bounds(df, "y", ["a", "b"], trials, edge_rows(df, ["a", "b"])).collect()}
+    assert len(bounds) == len(trials)
+    for i, gini in exact.items():
+        assert bounds[i][0] - 1e-9 <= gini <= bounds[i][1] + 1e-9
+    # A trial with a few tied scores only is bounded by their bins; draws spread and are bounded closely.
+    assert all(bounds[i][1] - bounds[i][0] < 0.2 for i in range(len(grid(2)), len(trials)))
+    assert all(
+        r.low is None for r in gini_bounds(df.selectExpr("case when a > 0.9 then null else y end as y", "a", "b"), "y",
+                                           ["a", "b"], trials, edge_rows(df, ["a", "b"])).collect()
+    )
+    found = gini_of_promising(df, "y", ["a", "b"], trials, edge_rows(df, ["a", "b"]), None)
+    ranked = {r.trial: r.gini for r in found.collect()}
+    assert len(ranked) < len(trials)
+    reached = -1.0
+    for i in range(len(trials)):
+        if exact[i] > reached + 1e-9:
+            assert ranked[i] == pytest.approx(exact[i])
+        reached = max(reached, exact[i])
+
+
 def test_search_finds_a_draw_better_than_the_grid(spark):
     rng = random.Random(5)
     rows = [(rng.random(), rng.random()) for _ in range(300)]

@@ -19,7 +19,7 @@ from martloom.learning.jobs import (
     tune_from,
 )
 from martloom.learning.registry import make
-from martloom.learning.tuning import SPACES, SearchSpace, tune
+from martloom.learning.tuning import SearchSpace, tune
 from martloom.learning.validation import cross_validate, leaderboard, score_functions, temporal_validate
 from martloom.operators.metrics import METRICS, OVER_SCORES, group_scalars
 from martloom.operators.scaling import Scale
@@ -138,10 +138,15 @@ def temporal_stability(spark, sf):
     return steady.select(r6("stability").alias("stability"))
 
 
+# Settings of the registered queries: MLlib takes about a second a tree on a small machine,
+# whatever the size of the table. The library's own defaults are 100 to 1000 rounds.
+QUICK = {"maxIter": 16, "maxDepth": 3}
+
+
 @query()
 def train_evaluate(spark, sf):
     path = snapshot(_events(spark, sf).select("key", *FEATURES, "y"), scratch_path(spark, "train"), "events")
-    return train_from(spark, path, "LGBMClassifier", "6:2:2", "key").metrics
+    return train_from(spark, path, "LGBMClassifier", "6:2:2", "key", **QUICK).metrics
 
 
 # A tree of depth one on a 0/1 feature predicts the majority label of the training rows
@@ -192,12 +197,13 @@ def train_multiclass(spark, sf):
         F.col("event_id").alias("key"), (F.col("value") / 100).alias("x"), (F.col("user_id") % 10).alias("u"),
         F.when(F.col("value") > 60, 2).when(F.col("value") > 20, 1).otherwise(0).alias("y"),
     )
-    return train_and_evaluate(rows, "LGBMClassifier", "6:2:2", "key").metrics
+    return train_and_evaluate(rows, "LGBMClassifier", "6:2:2", "key", **QUICK).metrics
 
 
 @query()
 def leaderboard_models(spark, sf):
-    models = {n: make(n, label="y") for n in ("logistic_regression", "decision_tree", "naive_bayes", "linear_svm")}
+    families = ("logistic_regression", "decision_tree", "naive_bayes", "linear_svm")
+    models = {n: make(n, label="y", **({"maxIter": 10} if n == "linear_svm" else {})) for n in families}
     return leaderboard(_vectors(spark, sf, FEATURES), models, "y", "key")
 
 
@@ -210,7 +216,7 @@ select unnest(['logistic_regression', 'linear_svm']) as model, {sql_r6("avg(auc)
 from ({SQL_FOLD_RANKS})
 """)
 def leaderboard_one_feature(spark, sf):
-    settings = {"logistic_regression": {"regParam": 0.01}, "linear_svm": {"regParam": 0.01}}
+    settings = {"logistic_regression": {"regParam": 0.01}, "linear_svm": {"regParam": 0.01, "maxIter": 10}}
     models = {n: make(n, label="y", **s) for n, s in settings.items()}
     out = leaderboard(_vectors(spark, sf), models, "y", "key")
     return out.select("model", *[r6(c).alias(c) for c in ("roc_auc_score", "gini_score")])
@@ -227,7 +233,8 @@ def tune_trials(spark, sf):
     """The tuning job by the place of its table: start trials, watched fits, a log of trials."""
     path = snapshot(_events(spark, sf).select("key", *FEATURES, "y"), scratch_path(spark, "train"), "events")
     log = scratch_path(spark, "tuning-log")
-    tune_from(spark, path, "XGBClassifier", "6:2:2", "key", n_trials=2, run_log=log)
+    space = SearchSpace({"default": {"maxIter": 4, "maxDepth": 2}}, {"maxIter": [3, 5], "maxDepth": [1, 2], "stepSize": [0.05, 0.3]})
+    tune_from(spark, path, "XGBClassifier", "6:2:2", "key", n_trials=2, space=space, run_log=log)
     return read_runs(spark, log)
 
 
@@ -430,18 +437,27 @@ def leaderboard_then_tuning_regression(spark, sf):
 
 @query()
 def select_and_ensemble(spark, sf):
-    """Boosted families on a leaderboard, the leading ones tuned by their start trial, refitted, weighed."""
+    """Families on a leaderboard, the two leading ones tuned, refitted and weighed, without a bound on trials."""
     rows = ratio_split(_vectors(spark, sf, FEATURES), "6:2:2", "key")
     train, valid, test = (rows.where(F.col("split") == s).drop("split") for s in ("train", "valid", "test"))
     log = RunLog(spark, scratch_path(spark, "run-log"))
-    found = select_model(train, valid, SPACES, "y", "key", n_trials=1, log=log, top_k=2)
+    spaces = {
+        "decision_tree": SearchSpace({"default": {"maxDepth": 3}}, {"maxDepth": [2, 5]}),
+        "logistic_regression": SearchSpace({"default": {"regParam": 0.01}}, {"regParam": [0.0, 0.1]}),
+        "naive_bayes": SearchSpace({"default": {}}, {"smoothing": [0.5, 1.0]}),
+    }
+    found = select_model(train, valid, spaces, "y", "key", n_trials=2, log=log, top_k=2)
     return found.predict_ensemble(test, "key")
 
 
 @query()
 def predictions_by_family(spark, sf):
     rows = _vectors(spark, sf, FEATURES)
-    settings = {"random_forest": {}, "perceptron": {"layers": [3, 4, 2]}, "gradient_boosting": {}}
+    settings = {
+        "random_forest": {"numTrees": 5},
+        "perceptron": {"layers": [3, 4, 2], "maxIter": 10},
+        "gradient_boosting": {"maxIter": 3},
+    }
     models = {n: make(n, label="y", **s).fit(rows) for n, s in settings.items()}
     return predictions(models, rows, "key")
 

@@ -133,7 +133,7 @@ class Watched:
     watched: DataFrame
     rounds: int = ROUNDS
     patience: int = STOPPING_ROUNDS
-    first: int = 32
+    first: int = 16
 
     def fit(self, rows: DataFrame) -> Model:
         return self.fit_and_watch(rows)[0]

@@ -1,10 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-The index is a set of runs. A run is a table of (line hash, first document), bucketed
-and sorted by the hash, so a new batch joins it bucket by bucket and no run is ever
-shuffled again. A batch is reduced to one row per hash, looked up in every run by merge
-joins, and what no run knows becomes a new run. As soon as `fan_in` runs stand on a level
-they are merged into one on the next, so a batch meets few runs however many came before.
+The index is a set of runs. A run is a table of (line hash, first document) in the shared
+folder, bucketed and sorted by the hash, each bucket one file, so a run is never shuffled or
+sorted again. A batch is reduced to one row per hash, looked up in every run by merge joins,
+and what no run knows becomes a new run. As soon as `fan_in` runs stand on a level they are
+merged, bucket by bucket as they lie, into one on the next, so a batch meets few runs however
+many came before.
 
 Hashes have 128 bits. Defined results: a null or empty text is one empty line; rows with
 a null id keep all their lines and are not counted; rows that repeat an id are one
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from martloom.llm.frames import map_batches, map_stream, packed, slices, unpacked
-from martloom.session import cut
+from martloom.llm.frames import delete_path, map_batches, map_stream, packed, setting, slices, unpacked
+from martloom.session import cut, scratch_path
 
 MIN_CHARS = 10
+# Lets Spark rely on the order within a bucket of one file.
+AS_WRITTEN = ("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -62,18 +65,25 @@ class LineIndex:
         self.spark, self.fan_in = spark, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame, level: int) -> None:
+        """A new run of `rows`, which lie in one partition per bucket."""
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = scratch_path(self.spark, name)
         (
-            rows.repartition(self.buckets, "h")
-            .write.bucketBy(self.buckets, "h")
+            rows.write.bucketBy(self.buckets, "h")
             .sortBy("h")
             .format("parquet")
+            .option("path", self.paths[name])
             .saveAsTable(name)
         )
         self.runs.append((level, name))
 
+    def _remove(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_path(self.spark, self.paths.pop(name))
+
     def add(self, lines: DataFrame) -> DataFrame:
         """Take in one batch of (id, h); the result names the (id, h) that repeat.
 
@@ -85,30 +95,38 @@ class LineIndex:
             run = self.spark.table(name).select("h", F.col("first").alias(f"first_{i}"))
             found, known = found.join(run, "h", "left"), [*known, F.col(f"first_{i}")]
         seen = F.coalesce(*known, F.lit(None).cast("bigint"))
-        looked = cut(found.select("h", "low", "high", seen.alias("seen")), "lines")
-        self._write(looked.where("seen is null").select("h", F.col("low").alias("first")), 0)
+        with setting(self.spark, *AS_WRITTEN):
+            looked = cut(found.select("h", "low", "high", seen.alias("seen")), "lines")
+        new = looked.where("seen is null").select("h", F.col("low").alias("first"))
+        self._write(new.repartition(self.buckets, "h"), 0)
         self._compact()
         repeated = looked.select("h", F.coalesce("seen", "low").alias("first"), "low", "high").where(
             "low <> first or high <> first"
         )
         return cut(lines.join(repeated.select("h", "first"), "h").where("id <> first").select("id", "h"), "drops")
 
+    def _merged(self, names: list[str]) -> DataFrame:
+        """One run's rows from those of several; no hash is in two of them."""
+        rows = self.spark.table(names[0])
+        for name in names[1:]:
+            other = self.spark.table(name).withColumnRenamed("first", "other")
+            rows = rows.join(other, "h", "full").select("h", F.least("first", "other").alias("first"))
+        return rows
+
     def _compact(self) -> None:
         level = 0
         while len(full := [name for at, name in self.runs if at == level]) >= self.fan_in:
-            rows = self.spark.table(full[0])
-            for name in full[1:]:
-                rows = rows.unionByName(self.spark.table(name))
+            with setting(self.spark, *AS_WRITTEN):
+                self._write(self._merged(full), level + 1)
             self.runs = [run for run in self.runs if run[1] not in full]
-            self._write(rows, level + 1)
             for name in full:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                self._remove(name)
             level += 1
 
     def drop(self) -> None:
         """Give up the index and its tables."""
         for _, name in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._remove(name)
         self.runs = []
 
 

@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from martloom.llm.line_dedup import LineIndex, drop_repeated_lines, line_hashes
-from martloom.llm.frames import packed
+from martloom.llm.line_dedup import AS_WRITTEN, LineIndex, drop_repeated_lines, line_hashes
+from martloom.llm.frames import packed, setting
 from martloom.llm.packing import bin_plan, default_vocabulary, fullest, pack, sequences, word_ids
+from martloom.session import scratch_root
 from tests.llm import plain
 
 
@@ -47,11 +48,31 @@ def test_line_index_compacts_its_runs(spark, docs):
         seen |= own
         levels = [level for level, _ in index.runs]
         assert len(levels) == len(set(levels)), "each level holds fewer runs than are merged"
+        for _, name in index.runs:
+            files = spark.table(name).inputFiles()
+            assert len(files) <= 4, "one file a bucket, also after merges"
+            assert all(scratch_root(spark) in f for f in files), "runs lie in the shared folder"
+            for f in files:
+                own = [bytes(r.h) for r in spark.read.parquet(f).collect()]
+                assert own == sorted(own)
     assert sum(spark.table(name).count() for _, name in index.runs) == len(seen)
     index.drop()
     assert not index.runs
 
 
+def test_line_runs_are_merged_as_they_lie(spark, docs):
+    lines = line_hashes(packed(docs)).cache()
+    index = LineIndex(spark, fan_in=3, buckets=4)
+    for n in range(2):
+        index.add(lines.where(F.pmod("id", F.lit(2)) == n))
+    with setting(spark, *AS_WRITTEN):
+        plan = index._merged([name for _, name in index.runs])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "Exchange" not in plan and "Sort [" not in plan
+    index.drop()
+    assert spark.conf.get(AS_WRITTEN[0]) == "false"
+
+
 def encoded(texts):
     tokenizer = word_ids(default_vocabulary()).tokenizer
     return {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in texts.items()}

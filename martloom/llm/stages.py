@@ -17,16 +17,21 @@ from martloom.llm.packing import pack
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, unless the session has a bound of its own."""
+def prepare(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, unless the session has a bound of its own, and free the driver.
+
+    A stage leaves plans, compiled classes and job records on the driver. Its JVM gives them back to
+    the system only in a full collection, which Spark's own cleaner asks for every half an hour.
+    """
     key, size = BATCH_BYTES
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(size))
+    spark._jvm.System.gc()
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that language identification rejects."""
-    small_batches(spark)
+    prepare(spark)
     found = identify(docs).where("not rejected")
     kinds = {f.name: f.dataType for f in docs.schema}
     return unpacked(found, docs.columns).select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in docs.columns])
@@ -34,23 +39,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the lines that an earlier document holds too; emptied documents stay, as the next stages decide."""
-    small_batches(spark)
+    prepare(spark)
     return with_length(drop_repeated_lines(docs).select(*docs.columns))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    small_batches(spark)
+    prepare(spark)
     return drop_near_duplicates(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every found span replaced by its kind."""
-    small_batches(spark)
+    prepare(spark)
     return with_length(pii.redact(docs))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes."""
-    small_batches(spark)
+    prepare(spark)
     return pack(docs)

@@ -7,10 +7,11 @@ import sys
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml import Transformer
-from pyspark.ml.feature import PCA, ElementwiseProduct, OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,6 +205,14 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
 
 # -- sparse one-hot -----------------------------------------------------------
 
+MOST_FLAGS = 2**31 - 1  # sizes and indices of a vector are 32-bit integers
+
+
+@F.arrow_udf(VectorUDT())
+def _as_vector(parts: pa.Array) -> pa.Array:
+    """The fields of a vector as one: the type changes, nothing else."""
+    return parts
+
 
 @dataclass(frozen=True)
 class SparseOneHotPlan:
@@ -219,25 +228,30 @@ class SparseOneHotPlan:
     output: str
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """The other columns, then the vector; a value that was not learned sets no flag."""
+        """The other columns, then the vector; a value that was not learned sets no flag.
+
+        The vector's metadata has the number of flags, not their names: MLlib's own encoder and
+        assembler keep an attribute per flag in the plan, and so on the driver.
+        """
+        if sum(self.sizes) > MOST_FLAGS:
+            raise ValueError(f"{sum(self.sizes)} flags do not fit into a vector")
         names = [c for c, _ in self.codes]
-        for i, (c, table) in enumerate(self.codes):
+        rest = [c for c in df.columns if c not in names]
+        indices, start = [], 0
+        for i, ((c, table), size, null) in enumerate(zip(self.codes, self.sizes, self.has_null)):
             own = table.select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
-            df = df.join(own, col(c) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
-        indices = []
-        for i, (c, size, null) in enumerate(zip(names, self.sizes, self.has_null)):
-            unknown = F.when(col(c).isNull(), float(size - 1)) if null else F.lit(None).cast("double")
-            # A code beyond the flags sets none of them.
-            indices.append(F.coalesce(F.col(f"__c{i}").cast("double"), unknown, F.lit(float(size))).alias(f"__c{i}"))
-        rest = [c for c in df.columns if not c.startswith("__c") and c not in names]
-        coded = df.select(*[col(c) for c in rest], *indices)
-        columns = [f"__c{i}" for i in range(len(names))]
-        flags = [f"__f{i}" for i in range(len(names))]
-        # With "keep" the encoder has one flag more, for what is not known, and drops that one.
-        widths = df.sparkSession.createDataFrame([tuple(float(n - 1) for n in self.sizes)], [*columns])
-        encoder = OneHotEncoder(inputCols=columns, outputCols=flags, handleInvalid="keep", dropLast=True).fit(widths)
-        out = VectorAssembler(inputCols=flags, outputCol=self.output).transform(encoder.transform(coded))
-        return out.select(*[col(c) for c in rest], col(self.output))
+            df = df.join(own, col(c) == F.col(f"__v{i}"), "left")
+            unknown = F.when(col(c).isNull(), size - 1) if null else F.lit(None).cast("int")
+            indices.append((F.coalesce(F.col(f"__c{i}").cast("int"), unknown) + start).alias(f"__c{i}"))
+            start += size
+        set_flags = F.array_compact(F.array(*indices))
+        coded = df.select(*[col(c) for c in rest], set_flags.alias("__set"))
+        parts = F.struct(
+            F.lit(0).cast("tinyint").alias("type"), F.lit(start).alias("size"), F.col("__set").alias("indices"),
+            F.transform("__set", lambda _: F.lit(1.0)).alias("values"),
+        )
+        flags = _as_vector(parts).alias(self.output, metadata={"ml_attr": {"num_attrs": start}})
+        return coded.select(*[col(c) for c in rest], flags)
 
     def positions(self) -> DataFrame:
         """(position, column, value): what each flag of the vector stands for."""

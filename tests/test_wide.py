@@ -42,6 +42,17 @@ def test_sparse_flags_of_a_wide_column_stay_off_the_driver(spark):
     assert found.where("size(i) <> 1").count() == 0 and found.select(F.explode("i")).distinct().count() == 50_000
 
 
+def test_sparse_flags_have_no_attribute_each(spark):
+    df = spark.range(5000).select("id", F.concat(F.lit("text "), F.col("id")).alias("a"))
+    out = SparseOneHot(("a",)).fit(df).apply(df)
+    assert out.columns == ["id", "flags"]
+    assert out.schema["flags"].metadata == {"ml_attr": {"num_attrs": 5000}}
+    # The row is a vector to its users, and sparse however few flags there are.
+    assert out.first()["flags"].size == 5000
+    few = spark.createDataFrame([(1, "x"), (2, "y")], "id int, a string")
+    assert {r.id: list(r.flags.indices) for r in SparseOneHot(("a",)).fit(few).apply(few).collect()} == {1: [0], 2: [1]}
+
+
 def test_distinct_counts_without_expand(spark):
     rows = [(i % 3, None if i % 2 else float(i % 5), "a" if i else None, None, float("nan")) for i in range(40)]
     df = spark.createDataFrame(rows, "x int, y double, z string, w string, q double")

@@ -19,6 +19,7 @@ from martloom.operators.combine import merge_features, supertype, union_relaxed
 from martloom.learning.registry import make_for_classes
 from martloom.operators.correlation import DropCorrelated, correlations
 from martloom.operators.encoding import OneHotBoolean, ReduceBooleans, fit_one_hot, label_codes
+from martloom.operators import ensemble
 from martloom.operators.ensemble import (
     PATIENCE,
     draws,
@@ -205,6 +206,19 @@ def test_search_finds_a_draw_better_than_the_grid(spark):
     assert found.score == pytest.approx(best)
 
 
+def test_close_trials_are_bounded_again_before_they_are_ranked(spark, monkeypatch):
+    """Scores that say nothing of the target: all trials lie within the first bounds, and few are ranked."""
+    rng = random.Random(11)
+    rows = [(rng.randint(0, 1), *(rng.random() for _ in range(3))) for _ in range(40_000)]
+    df = spark.createDataFrame(rows, "y int, a double, b double, c double").cache()
+    weights, best, at, done = searched(np.array([r[0] for r in rows]), np.array([r[1:] for r in rows]), 60)
+    ranked = []
+    monkeypatch.setattr(ensemble, "gini_of_weights", lambda *a: ranked.extend(a[3]) or gini_of_weights(*a))
+    found = search_weights(df, "y", ["a", "b", "c"], patience=60)
+    assert (found.weights, found.n_trials) == (weights, done) and found.score == pytest.approx(best)
+    assert len(ranked) <= 16
+
+
 def test_registered_search_goes_on_after_the_grid(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in predictions(spark, sf).select("y", *MODELS).collect()]

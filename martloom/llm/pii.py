@@ -7,8 +7,7 @@ become numbers, gradient-boosted trees score it, and a threshold per kind, calib
 rows kept out of the fit, selects what is added. Of overlapping additions the better score
 stays; a base span always stays.
 
-Trees are fitted by `pyspark.ml` on the proposals of about `SAMPLE` documents (a documented
-bound). Their labels come from the base spans: a proposal that is one is personal, one that
+Trees are fitted by `pyspark.ml` on the proposals of all documents. Their labels come from the base spans: a proposal that is one is personal, one that
 touches none is not, and rewritten copies (a phone number without its country code, a card
 with a wrong check digit, an address written out with [at]) teach the formats and contexts
 that the patterns do not know. Without both labels nothing is added.
@@ -71,11 +70,8 @@ CONTEXT = {
     "card": "(?i)(card|visa|credit|payment)",
     "phone": "(?i)(phone|tel|call|fax|mobile|cell)",
 }
-# Bound on the documents whose proposals the trees are fitted on.
-SAMPLE = 20_000
 TREES, DEPTH, STEP = 12, 3, 0.3
 PRECISION = 0.99
-FIT_TASKS = 8
 BEFORE = 24
 SPAN = "struct<kind:int,start:int,end:int>"
 
@@ -319,28 +315,29 @@ def beside_others(known: DataFrame, forms: dict[str, list[Column]]) -> DataFrame
     return out
 
 
-def fit(docs: DataFrame, id_col: str, text: Column, sample: int = SAMPLE) -> Trees | None:
-    """Trees from the proposals of about `sample` documents; None when they show one label only."""
-    total = docs.count()
+def fit(docs: DataFrame, id_col: str, text: Column) -> Trees | None:
+    """Trees from the proposals of all documents; None when they show one label only.
+
+    Proposals of equal features, label and part are one row with their number as its weight, so
+    the rows of the fit grow with the formats and contexts that are met, not with the documents.
+    """
     draw = F.pmod(F.xxhash64(column(docs, id_col), F.lit("pii")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = docs.where(draw < min(1.0, sample / max(total, 1)))
-    found = with_base(drawn.select(text.alias("text"), draw.alias("draw")), F.col("text"))
+    found = with_base(docs.select(text.alias("text"), draw.alias("draw")), F.col("text"))
     found = with_proposals(found).select("pii_found", "pii_base", "draw")
     # Written before anything filters or explodes it: pushed down, a filter would match every pattern again.
     rows = training_rows(cut(found, "found"))
     row = F.struct("kind", "match", "before", "after")
     part = F.pmod(F.xxhash64("match", "before", "draw"), F.lit(4))
     columns = features(row)
-    rows = cut(rows.select("label", part.alias("part"), *[x.alias(n) for n, x in columns.items()]), "proposals")
-    counts = {r["label"]: r["n"] for r in rows.where("part > 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
+    rows = rows.select("label", part.alias("part"), *[x.alias(n) for n, x in columns.items()])
+    rows = cut(rows.groupBy("label", "part", *columns).agg(F.count("*").cast("double").alias("n")), "proposals")
+    if rows.where("part > 0").select("label").distinct().count() < 2:
         return None
     learner = GBTClassifier(
-        featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, maxBins=32
+        featuresCol="features", labelCol="label", weightCol="n", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, maxBins=32
     )
-    # At most a few hundred thousand rows of numbers, so a few tasks are enough for the many small jobs of the fit.
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows.coalesce(FIT_TASKS))
-    model = learner.fit(assembled.where("part > 0").select("features", "label"))
+    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows)
+    model = learner.fit(assembled.where("part > 0").select("features", "label", "n"))
     score = as_sql(model, list(columns))
     return Trees(score, _thresholds(rows.where("part = 0").withColumn("score", F.expr(score))))
 
@@ -363,7 +360,7 @@ def as_sql(model: object, names: list[str]) -> str:
 def _thresholds(scored: DataFrame) -> list[float]:
     """Per kind the least score, in hundredths, above which PRECISION of the kept-out rows are personal."""
     bins = scored.groupBy(F.col("kind").cast("int").alias("kind"), F.floor(F.col("score") * 100).alias("bin")).agg(
-        F.sum("label").alias("good"), F.count("*").alias("n")
+        F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")
     )
     by_kind = {}
     for r in bins.collect():
@@ -421,21 +418,21 @@ def as_text(spans: str) -> Column:
     return F.array_join(parts, ",")
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(pii_row, pii_original, pii_base, pii_spans): the other columns packed, so that no name can clash."""
     rest = [column(docs, c).alias(c) for c in docs.columns if c != text_col]
     source = column(docs, text_col).cast("string")
-    trees = fit(docs, id_col, F.coalesce(source, F.lit("")), sample)
+    trees = fit(docs, id_col, F.coalesce(source, F.lit("")))
     rows = docs.select(F.struct(*rest).alias("pii_row"), source.alias("pii_original"))
     return with_spans(rows, F.coalesce("pii_original", F.lit("")), trees)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with `pii_base` and `pii_spans`, arrays of (kind as an index of KINDS, start, end).
 
     Columns of these two names in the input give way.
     """
-    found, added = _found(docs, id_col, text_col, sample), ("pii_base", "pii_spans")
+    found, added = _found(docs, id_col, text_col), ("pii_base", "pii_spans")
     return found.select(*[_own(c, text_col, F.col("pii_original")) for c in docs.columns if c not in added], *added)
 
 
@@ -444,9 +441,9 @@ def _own(name: str, text_col: str, text: Column) -> Column:
     return (text if name == text_col else F.col(f"pii_row.{quoted(name)}")).alias(name)
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with every span replaced by its kind in brackets; overlapping spans become one."""
-    found = _found(docs, id_col, text_col, sample)
+    found = _found(docs, id_col, text_col)
     text = F.col("pii_original")
     ordered = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
     start = F.struct(F.array().cast("array<struct<kind:int,start:int,end:int>>").alias("out"), F.lit(-1).alias("last"))

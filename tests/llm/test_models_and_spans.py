@@ -119,6 +119,21 @@ def test_base_spans_as_brute_force(docs, persons):
             assert set(spans_of(r, "pii_base")) <= set(spans_of(r, "pii_spans"))
 
 
+def test_trees_learn_from_every_document(spark, monkeypatch):
+    """Also of many more than a few thousand."""
+    asked = []
+
+    def counted(df, name):
+        asked.append((name, df.count()))
+        raise InterruptedError
+
+    monkeypatch.setattr(pii, "cut", counted)
+    many = spark.range(45_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    with pytest.raises(InterruptedError):
+        pii.fit(many, "doc_id", F.col("text"))
+    assert asked == [("found", 45_000)]
+
+
 def test_added_spans_touch_no_base_span_and_need_a_reason(spark, persons):
     text = F.coalesce("text", F.lit(""))
     trees = pii.fit(persons, "doc_id", text)

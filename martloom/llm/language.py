@@ -18,7 +18,7 @@ null id counts as the empty text for the split; without any labelled row every t
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -99,16 +99,40 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 12, seed: int =
             }
 
     schema = "id bigint, lang string, bucket binary, n binary"
-    rows = map_stream(sample_rows(usable, sample).select("id", "text", "lang"), schema, features).toArrow()
-    order = pc.sort_indices(rows, [("id", "ascending"), ("lang", "ascending")]).to_pylist()
-    counts = [
-        (np.frombuffer(rows["bucket"][i].as_buffer(), BUCKET), np.frombuffer(rows["n"][i].as_buffer(), np.uint32)) for i in order
-    ]
-    made = train(counts, [rows["lang"][i].as_py() for i in order], epochs, seed)
-    # The driver lives on through the jobs to come: what the fit held goes back to the system.
-    del rows, counts
-    pa.default_memory_pool().release_unused()
-    return made
+    rows = map_stream(sample_rows(usable, sample).select("id", "text", "lang"), schema, features)
+
+    def learn(parts: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(parts))
+        order = pc.sort_indices(rows, [("id", "ascending"), ("lang", "ascending")]).to_pylist()
+        counts = [
+            (np.frombuffer(rows["bucket"][i].as_buffer(), BUCKET), np.frombuffer(rows["n"][i].as_buffer(), np.uint32)) for i in order
+        ]
+        made = train(counts, [rows["lang"][i].as_py() for i in order], epochs, seed)
+        logits = np.ascontiguousarray(made.logits)
+        yield pa.RecordBatch.from_pylist([{
+            "languages": made.languages, "logits": logits.tobytes(), "kind": logits.dtype.str,
+            "temperature": float(made.temperature), "least": float(made.least_score),
+        }])
+
+    # The sample is bounded, so one task holds it: the driver gets the model alone.
+    kinds = "languages array<string>, logits binary, kind string, temperature double, least double"
+    found = rows.repartition(1).mapInArrow(_with_rows(learn), kinds).collect()
+    if not found:
+        return train([], [], epochs, seed)
+    made = found[0]
+    logits = np.frombuffer(made.logits, made.kind).reshape(1 << BITS, len(made.languages))
+    return LanguageModel(list(made.languages), logits, made.temperature, made.least)
+
+
+def _with_rows(function: Callable) -> Callable:
+    """`function` of the batches with rows, where there are any."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held = [batch for batch in parts if batch.num_rows]
+        if held:
+            yield from function(held)
+
+    return run
 
 
 def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int, seed: int) -> LanguageModel:

@@ -274,45 +274,58 @@ def training_rows(docs: DataFrame) -> DataFrame:
     spelled = F.replace(F.replace(match, F.lit("@"), F.lit(" [at] ")), F.lit("."), F.lit(" [dot] "))
     dated = F.regexp_replace(plain, "^.*([0-9]{2})([0-9]{2})([0-9]{2})$", "20$1-$2-$3 10")
     hint = F.lit("phone ")
-    rewritten = [
-        ("phone", bare, F.lit(""), 1.0), ("phone", F.regexp_replace(dashed, "^-", ""), F.lit(""), 1.0),
-        ("phone", plain, hint, 1.0), ("phone", plain, F.lit(""), 0.0), ("phone", dated, F.lit(""), 0.0),
-        ("card", F.regexp_replace(match, "([0-9]{4})(?=[0-9])", "$1 "), F.lit(""), 1.0),
-        ("card", F.concat(F.expr("left(match, length(match) - 1)"), F.pmod(last + 1, F.lit(10)).cast("string")), F.lit(""), 0.0),
-        ("ip", F.regexp_replace(match, "^[0-9]+", "999"), F.lit(""), 0.0),
-        ("ip", F.concat(match, F.lit(".1")), F.lit(""), 0.0),
-        ("email", spelled, F.lit(""), 1.0), ("email", F.replace(match, F.lit("@"), F.lit(" at ")), F.lit(""), 0.0),
-    ]
-    out = seen
-    for kind, text, hint_text, label in rewritten:
-        rows = known.where(F.col("kind") == KINDS.index(kind))
-        before = F.when(hint_text != "", hint_text).otherwise(F.col("before"))
-        out = out.unionByName(rows.select("kind", text.alias("match"), before.alias("before"), "after", "draw", F.lit(label).alias("label")))
+    rewritten = {
+        "phone": [
+            (bare, F.lit(""), 1.0), (F.regexp_replace(dashed, "^-", ""), F.lit(""), 1.0),
+            (plain, hint, 1.0), (plain, F.lit(""), 0.0), (dated, F.lit(""), 0.0),
+        ],
+        "card": [
+            (F.regexp_replace(match, "([0-9]{4})(?=[0-9])", "$1 "), F.lit(""), 1.0),
+            (F.concat(F.expr("left(match, length(match) - 1)"), F.pmod(last + 1, F.lit(10)).cast("string")), F.lit(""), 0.0),
+        ],
+        "ip": [(F.regexp_replace(match, "^[0-9]+", "999"), F.lit(""), 0.0), (F.concat(match, F.lit(".1")), F.lit(""), 0.0)],
+        "email": [(spelled, F.lit(""), 1.0), (F.replace(match, F.lit("@"), F.lit(" at ")), F.lit(""), 0.0)],
+    }
+    # One plan makes all copies of a row: a union of a table per copy would repeat the features for each.
+    copies = by_kind({kind: F.array(*[
+        F.struct(text.alias("match"), F.when(hint_text != "", hint_text).otherwise(F.col("before")).alias("before"), F.lit(label).alias("label"))
+        for text, hint_text, label in ways
+    ]) for kind, ways in rewritten.items()})
+    copied = known.select("kind", "after", "draw", F.explode(copies).alias("c"))
+    out = seen.unionByName(copied.select("kind", "c.match", "c.before", "after", "draw", "c.label"))
     return out.unionByName(beside_others(known, {"card": [match], "phone": [bare, F.regexp_replace(dashed, "^-", "")]}))
 
 
+def by_kind(values: dict[str, Column]) -> Column:
+    """The value of the kind of a row, null for a kind without one."""
+    out = F.when(F.lit(False), next(iter(values.values())))
+    for kind, value in values.items():
+        out = out.when(F.col("kind") == KINDS.index(kind), value)
+    return out
+
+
 def beside_others(known: DataFrame, forms: dict[str, list[Column]]) -> DataFrame:
     """Proposals that overlap a known number written beside other numbers: the number is one, all other cuts are none."""
-    out = None
-    for kind, ways in forms.items():
-        rows = known.where(F.col("kind") == KINDS.index(kind))
-        # Each known number is written in one way, beside one other text.
-        turn = F.xxhash64("match", "before", "draw")
-        own = F.element_at(F.array(*ways), (F.pmod(turn, F.lit(len(ways))) + 1).cast("int"))
-        beside = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in BESIDE[kind]])
-        beside = F.element_at(beside, (F.pmod(F.shiftright(turn, 8), F.lit(len(BESIDE[kind]))) + 1).cast("int"))
-        rows = rows.select("draw", "before", "after", own.alias("own"), beside.alias("beside"))
-        lead = F.concat("before", "beside.a")
-        one = rows.select(
-            "draw", F.concat(lead, "own", "beside.b", F.when(F.col("beside.b") == "", F.col("after")).otherwise(F.lit(" "))).alias("pii_text"),
-            F.length(lead).alias("lo"), (F.length(lead) + F.length("own")).alias("hi"), F.lit(True).alias("pii_any"),
-        )
-        one = with_numbers(one, "pii_found").select(F.explode("pii_found").alias("c"), "lo", "hi", "draw")
-        one = one.where((F.col("c.start") < F.col("hi")) & (F.col("c.end") > F.col("lo")))
-        same = (F.col("c.kind") == KINDS.index(kind)) & (F.col("c.start") == F.col("lo")) & (F.col("c.end") == F.col("hi"))
-        one = one.select("c.kind", "c.match", "c.before", "c.after", "draw", same.cast("double").alias("label"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    # Each known number is written in one way, beside one other text.
+    turn = F.xxhash64("match", "before", "draw")
+
+    def turned(ways: list[Column], shift: int) -> Column:
+        return F.element_at(F.array(*ways), (F.pmod(F.shiftright(turn, shift), F.lit(len(ways))) + 1).cast("int"))
+
+    beside = {k: [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in BESIDE[k]] for k in forms}
+    rows = known.where(F.col("kind").isin([KINDS.index(k) for k in forms])).select(
+        "draw", "kind", "before", "after", by_kind({k: turned(ways, 0) for k, ways in forms.items()}).alias("own"),
+        by_kind({k: turned(ways, 8) for k, ways in beside.items()}).alias("beside"),
+    )
+    lead = F.concat("before", "beside.a")
+    one = rows.select(
+        "draw", "kind", F.concat(lead, "own", "beside.b", F.when(F.col("beside.b") == "", F.col("after")).otherwise(F.lit(" "))).alias("pii_text"),
+        F.length(lead).alias("lo"), (F.length(lead) + F.length("own")).alias("hi"), F.lit(True).alias("pii_any"),
+    )
+    one = with_numbers(one, "pii_found").select(F.explode("pii_found").alias("c"), F.col("kind").alias("known"), "lo", "hi", "draw")
+    one = one.where((F.col("c.start") < F.col("hi")) & (F.col("c.end") > F.col("lo")))
+    same = (F.col("c.kind") == F.col("known")) & (F.col("c.start") == F.col("lo")) & (F.col("c.end") == F.col("hi"))
+    return one.select("c.kind", "c.match", "c.before", "c.after", "draw", same.cast("double").alias("label"))
 
 
 def fit(docs: DataFrame, id_col: str, text: Column) -> Trees | None:
@@ -325,7 +338,7 @@ def fit(docs: DataFrame, id_col: str, text: Column) -> Trees | None:
     found = with_base(docs.select(text.alias("text"), draw.alias("draw")), F.col("text"))
     found = with_proposals(found).select("pii_found", "pii_base", "draw")
     # Written before anything filters or explodes it: pushed down, a filter would match every pattern again.
-    rows = training_rows(cut(found, "found"))
+    rows = cut(training_rows(cut(found, "found")), "training")
     row = F.struct("kind", "match", "before", "after")
     part = F.pmod(F.xxhash64("match", "before", "draw"), F.lit(4))
     columns = features(row)

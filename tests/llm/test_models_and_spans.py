@@ -134,6 +134,28 @@ def test_trees_learn_from_every_document(spark, monkeypatch):
     assert asked == [("found", 45_000)]
 
 
+def test_training_rows_are_made_by_one_plan(spark):
+    """A table per rewritten copy held more of the driver than there is; the copies are as many as before."""
+    found = "struct<kind:int,start:int,end:int,match:string,before:string,after:string>"
+    texts = ["joe@mail.example.com", "10.0.0.1", "4111111111111111", "+1 (212) 555-1234"]
+    rows = [([(k, 0, len(t), t, "", "")], [(k, 0, len(t))], k / 8) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, f"pii_found array<{found}>, pii_base array<{pii.SPAN}>, draw double")
+    out = pii.training_rows(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 3
+    copies = {}
+    for r in out.collect():
+        copies.setdefault(pii.KINDS[r.kind], []).append((r.match, r.before, r.label))
+    assert sorted(copies["email"]) == [("joe [at] mail [dot] example [dot] com", "", 1.0), ("joe at mail.example.com", "", 0.0), ("joe@mail.example.com", "", 1.0)]
+    assert sorted(copies["ip"]) == [("10.0.0.1", "", 1.0), ("10.0.0.1.1", "", 0.0), ("999.0.0.1", "", 0.0)]
+    assert {("4111111111111111", "", 1.0), ("4111 1111 1111 1111", "", 1.0), ("4111111111111112", "", 0.0)} <= set(copies["card"])
+    phones = [("+1 (212) 555-1234", "", 1.0), ("(212) 555-1234", "", 1.0), ("212-555-1234", "", 1.0),
+              ("12125551234", "phone ", 1.0), ("12125551234", "", 0.0)]
+    assert set(phones) <= set(copies["phone"])
+    # Beside other numbers a number is right once for each known one.
+    beside = out.where("label = 1").count()
+    assert beside == 4 + 3 + 1 + 1 + 2
+
+
 def test_added_spans_touch_no_base_span_and_need_a_reason(spark, persons):
     text = F.coalesce("text", F.lit(""))
     trees = pii.fit(persons, "doc_id", text)

@@ -9,12 +9,14 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+from martloom.catalog import learn
+from martloom.learning import tuning, validation
 from martloom.learning.boosting import Watched, best_round, first_rounds, round_scores
 from martloom.learning.jobs import log_leaderboard, tune_best, tune_from
 from martloom.learning.registry import BOOSTED, WATCHING, EachAgainstTheRest, make, make_for_classes
 from martloom.learning.tuning import SPACES, SearchSpace, tune
 from martloom.learning.validation import cross_validate, score_column, score_columns, score_functions, temporal_validate
-from martloom.operators.metrics import auc, group_scalars
+from martloom.operators.metrics import ScoreRanges, auc, group_scalars
 from martloom.plans.mart import assemble
 from martloom.session import scratch_path
 from martloom.sources.runs import RunLog
@@ -190,3 +192,33 @@ def test_a_leak_of_the_scored_rows_shows(spark):
     )
     steps, _ = temporal_validate(assemble(df, ["z"], ("week", "y")), make("logistic_regression", label="y", regParam=0.1), "y", "week")
     assert all(r.gini == pytest.approx(-1.0) for r in steps.collect())
+
+
+def test_rows_are_scored_once_for_their_auc(spark):
+    """The ranges come from the written points, so what gives the scores runs once, not once more for the ranges."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(200, numPartitions=2).select((F.col("id") % 2).alias("y"), (F.col("id") % 7 / 7).alias("s"))
+    scored = rows.mapInArrow(score, "y bigint, s double")
+    value = auc(scored, "y", "s").first()["auc"]
+    assert seen.value == 200
+    assert value == pytest.approx(auc(rows, "y", "s", ranges=ScoreRanges(())).first()["auc"], abs=1e-15)
+
+
+def test_leaderboard_and_tuning_share_written_folds(spark, monkeypatch):
+    written = []
+
+    def counted(*args, **settings):
+        written.append(args)
+        return validation.write_folds_once(*args, **settings)
+
+    monkeypatch.setattr(validation, "write_folds_once", validation.write_folds, raising=False)
+    for place in (validation, tuning, learn):
+        monkeypatch.setattr(place, "write_folds", counted, raising=False)
+    assert learn.leaderboard_then_tuning(spark, "/root/testdata/sf0.001").count() == 3
+    assert len(written) == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from martloom.operators.combine import distinct_keys, keep_keys, merge_features,
 from martloom.operators.encoding import fit_dates
 from martloom.plans.mart import build_mart
 from martloom.plans.steps import IGNORE
-from martloom.session import scratch_path
+from martloom.session import scratch_path, side_by_side
 from martloom.sources.tables import snapshot
 
 STATS = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
@@ -157,11 +159,14 @@ def write_sources(spark, sf, splits=("train",)):
     items = items.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
     orders = base(spark, sf).withColumn("date_decision", F.date_format("date_decision", "yyyy-MM-dd"))
     static = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), "o_orderpriority", "o_totalprice")
-    for split in splits:
-        snapshot(orders, f"{root}/{split}", f"{split}_base.parquet")
-        snapshot(static.where("o_totalprice < 200000"), f"{root}/{split}", f"{split}_static_0_0.parquet")
-        snapshot(static.where("o_totalprice >= 200000"), f"{root}/{split}", f"{split}_static_0_1.parquet")
-        snapshot(items, f"{root}/{split}", f"{split}_person_1.parquet")
+    low, high = static.where("o_totalprice < 200000"), static.where("o_totalprice >= 200000")
+    sources = {"person_1": items, "base": orders, "static_0_0": low, "static_0_1": high}
+    works = [
+        partial(snapshot, df, f"{root}/{split}", f"{split}_{name}.parquet")
+        for split in splits
+        for name, df in sources.items()
+    ]
+    side_by_side(spark, works)
     return root
 
 

@@ -53,5 +53,8 @@ def parse_date(c: str, formats: tuple[str, ...] = DATE_FORMATS) -> str:
     out = []
     for f in formats:
         parts = [f"substring({c}, {f.index(p) + 1}, {len(p)})" for p in ("yyyy", "MM", "dd")]
-        out.append(f"when {format_test(c, f)} then try_cast(concat_ws('-', {', '.join(parts)}) as date)")
+        whole = f"concat_ws('-', {', '.join(parts)})"
+        # With both separators in place the value is already what its parts are joined to.
+        text = f"if(substring({c}, 8, 1) = '-', {c}, {whole})" if f == "yyyy-MM-dd" else whole
+        out.append(f"when {format_test(c, f)} then try_cast({text} as date)")
     return f"case {' '.join(out)} end"

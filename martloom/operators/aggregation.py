@@ -54,9 +54,13 @@ class Aggregate:
     def fit_apply(self, df: DataFrame) -> tuple[Plan, DataFrame]:
         """The plan and the aggregated table with narrowed new columns.
 
-        The aggregate is written once: whether a key (null being one) repeats, its statistics
-        and the result read the written table instead of grouping the rows again.
+        Whether a key (null being one) repeats is counted over the keys alone where a sketch
+        finds about as many keys as rows. Else the aggregate is written once, and that check,
+        the statistics and the result read the written table instead of grouping the rows again.
         """
+        seen = df.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(col(self.key)).alias("keys")).first()
+        if seen["keys"] * 2 > seen["n"] and not repeats(df, self.key):
+            return Identity(), df
         plan = self.plan(df)
         table = cut(plan.apply(df), "aggregate")
         if (table.agg(F.max("len").alias("most")).first()["most"] or 0) <= 1:
@@ -68,5 +72,11 @@ class Aggregate:
         return self.fit_apply(df)[0]
 
 
+def repeats(df: DataFrame, key: str) -> bool:
+    """Whether any key, null being one, has more than one row; only the keys are shuffled."""
+    counts = df.groupBy(col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return (counts.agg(F.max("n").alias("most")).first()["most"] or 0) > 1
+
+
 def label_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(col(label).alias(label)).agg(F.count(F.lit(1)).alias("n"))

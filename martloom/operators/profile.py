@@ -60,12 +60,15 @@ class Profile:
         return self.columns[name]
 
 
-def batched(df: DataFrame, per_column: list[list[str]]) -> dict[str, object]:
+def batched(df: DataFrame, per_column: list[list[str]], alone: tuple[int, ...] = ()) -> dict[str, object]:
     """The values of SQL aggregates, given as `... as name` per column, and the row count `n`.
 
-    The table is read once over all batches, each of which scans its own columns.
+    The table is read once over all batches, each of which scans its own columns. `alone` has
+    the places of columns whose code fills a batch: two of them are more than the JVM compiles.
     """
-    batches = [per_column[i : i + COLUMN_BATCH] for i in range(0, max(len(per_column), 1), COLUMN_BATCH)]
+    rest = [column for i, column in enumerate(per_column) if i not in alone]
+    batches = [rest[i : i + COLUMN_BATCH] for i in range(0, len(rest), COLUMN_BATCH)]
+    batches = [[per_column[i]] for i in alone] + batches or [[]]
 
     def run(batch: list[list[str]]) -> dict[str, object]:
         return df.selectExpr("count(1) as n", *[e for column in batch for e in column]).first().asDict()
@@ -110,7 +113,8 @@ def profile(
     wanted = frozenset(want) | {"nulls"}
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     exprs = [_expressions(f, wanted) for f in fields]
-    row = batched(df, [[f"{e} as s{i}_{k}" for k, e in x.items()] for i, x in enumerate(exprs)])
+    alone = tuple(i for i, x in enumerate(exprs) if "n_unparsed" in x)
+    row = batched(df, [[f"{e} as s{i}_{k}" for k, e in x.items()] for i, x in enumerate(exprs)], alone)
     found = {}
     for i, f in enumerate(fields):
         stats = {k: row[f"s{i}_{k}"] for k in exprs[i]}

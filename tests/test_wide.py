@@ -1,18 +1,23 @@
 """Columns of many values and tables of many columns."""
 
 import datetime
+from threading import Barrier
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from martloom.functions.dates import parse_date
+from martloom.operators import aggregation
 from martloom.operators.aggregation import Aggregate
 from martloom.operators.encoding import Encode, EncodeNarrow, ReduceBooleans, SparseOneHot
 from martloom.operators.filters import DropHighCardinality
 from martloom.operators.narrowing import Narrow, fit_narrowing
 from martloom.operators.plan import Identity
-from martloom.operators.profile import column_profile, column_sketches, distinct_counts, merge_sketches, sketch_counts
+from martloom.operators.profile import column_profile, column_sketches, distinct_counts, merge_sketches, profile, sketch_counts
+from martloom.plans import mart
 from martloom.plans.chain import Chain
+from martloom.plans.mart import process_tables
 
 
 def flags_of(df, plan):
@@ -131,3 +136,70 @@ def test_components_of_many_flags(spark):
     _, s, vt = np.linalg.svd(x, full_matrices=False)
     # The components span what the first right singular vectors span: the same best approximation.
     assert np.allclose(got @ got.T, (x @ vt[:k].T) @ (x @ vt[:k].T).T, atol=1e-6)
+
+
+def test_a_unique_key_is_settled_without_the_statistics(spark, monkeypatch):
+    unique = spark.range(1000).selectExpr("id as k", "id % 7 as v")
+    one_null = unique.selectExpr("nullif(k, 5) as k", "v")
+    two_null = unique.selectExpr("if(k in (5, 6), null, k) as k", "v")
+    last_twice = unique.selectExpr("least(k, 998) as k", "v")
+    plan, out = Aggregate("k").fit_apply(two_null)
+    assert not isinstance(plan, Identity) and out.count() == 999
+    assert Aggregate("k").fit_apply(last_twice)[1].where("k = 998").first()["len"] == 2
+    assert Aggregate("k").fit_apply(unique.selectExpr("k % 10 as k", "v"))[1].count() == 10
+    assert isinstance(Aggregate("k").fit(unique.limit(0)), Identity)
+
+    def written(*_):
+        raise AssertionError("aggregated to find that nothing repeats")
+
+    monkeypatch.setattr(aggregation, "cut", written)
+    assert isinstance(Aggregate("k").fit(unique), Identity)
+    assert isinstance(Aggregate("k").fit(one_null), Identity)
+
+
+def test_every_text_column_is_profiled_in_a_batch_of_its_own(spark, monkeypatch):
+    df = spark.range(100).selectExpr("id", "'2020-01-02' as a", "concat('x', id) as b", "cast(null as string) as c")
+    asked, select = [], type(df).selectExpr
+    monkeypatch.setattr(type(df), "selectExpr", lambda self, *e: (asked.append(e), select(self, *e))[1])
+    found = profile(df)
+    assert max(sum("as s" in e and "n_unparsed" in e.split()[-1] for e in batch) for batch in asked) == 1
+    assert [found[c].n_null for c in df.columns] == [0, 0, 0, 100] and found.n_rows == 100
+    assert (found["id"].max, found["a"].n_not_date, found["b"].n_not_date) == (99, 0, 100)
+
+
+def test_iso_dates_parse_as_their_joined_parts(spark):
+    values = ["2020-01-05", "2020-01x05", "2020-01-1T", "2020-01-1 ", "2020-13-01", "2020- 1-01", "20x0-01-01",
+              "2020/01/05", "05-01-2020", "2020-01-05 10:00", "", "ä020-01-05", None]
+    parts = "concat_ws('-', substring(v, 1, 4), substring(v, 6, 2), substring(v, 9, 2))"
+    plain = f"case when length(v) = 10 and substring(v, 5, 1) = '-' then try_cast({parts} as date) end"
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = df.selectExpr("v", f"{parse_date('v', ('yyyy-MM-dd',))} as a", f"{plain} as b").collect()
+    assert all(r.a == r.b for r in rows) and sum(r.a is not None for r in rows) == 4
+
+
+def test_tables_of_a_mart_are_processed_at_once(spark, tmp_path):
+    paths = {n: f"{tmp_path}/{n}.parquet" for n in ("base", "person")}
+    for i, path in enumerate(paths.values()):
+        spark.range(i + 2).write.parquet(path)
+    together = Barrier(2)
+
+    def step(df):
+        together.wait(60)
+        return df.withColumn("seen", F.lit(True))
+
+    targets = process_tables(spark, paths, f"{tmp_path}/out", Chain((step,)))
+    assert {n: spark.read.parquet(p).where("seen").count() for n, p in targets.items()} == {"base": 2, "person": 3}
+
+
+def test_splits_of_a_mart_are_processed_at_once(spark, tmp_path, monkeypatch):
+    together = Barrier(2)
+
+    def process(spark, paths, out, *_):
+        together.wait(60)
+        return {"base": out}
+
+    for split in ("train", "test"):
+        spark.range(10).selectExpr("id as case_id", "1 as WEEK_NUM", "1 as target", "id as x").write.parquet(f"{tmp_path}/{split}")
+    monkeypatch.setattr(mart, "process_tables", process)
+    result = mart.build_mart(spark, str(tmp_path), str(tmp_path))
+    assert (result.train.count(), result.test.count(), result.test.columns) == (10, 10, ["case_id", "WEEK_NUM", "target", "x"])

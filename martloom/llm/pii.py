@@ -322,7 +322,9 @@ def beside_others(known: DataFrame, forms: dict[str, list[Column]]) -> DataFrame
         "draw", "kind", F.concat(lead, "own", "beside.b", F.when(F.col("beside.b") == "", F.col("after")).otherwise(F.lit(" "))).alias("pii_text"),
         F.length(lead).alias("lo"), (F.length(lead) + F.length("own")).alias("hi"), F.lit(True).alias("pii_any"),
     )
-    one = with_numbers(one, "pii_found").select(F.explode("pii_found").alias("c"), F.col("kind").alias("known"), "lo", "hi", "draw")
+    # Written before it is exploded, as in `fit`: the filter that goes with an explode holds every earlier step many times over.
+    one = cut(with_numbers(one, "pii_found").select("pii_found", F.col("kind").alias("known"), "lo", "hi", "draw"), "beside")
+    one = one.select(F.explode("pii_found").alias("c"), "known", "lo", "hi", "draw")
     one = one.where((F.col("c.start") < F.col("hi")) & (F.col("c.end") > F.col("lo")))
     same = (F.col("c.kind") == F.col("known")) & (F.col("c.start") == F.col("lo")) & (F.col("c.end") == F.col("hi"))
     return one.select("c.kind", "c.match", "c.before", "c.after", "draw", same.cast("double").alias("label"))

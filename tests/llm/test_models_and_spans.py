@@ -156,6 +156,19 @@ def test_training_rows_are_made_by_one_plan(spark):
     assert beside == 4 + 3 + 1 + 1 + 2
 
 
+def test_plans_of_the_training_stay_small(spark, persons, monkeypatch):
+    written, write = {}, pii.cut
+
+    def sized(df, name):
+        # As the driver plans it: a filter pushed below the steps that make its column repeats all of them.
+        written[name] = len(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(pii, "cut", sized)
+    assert pii.fit(persons, "doc_id", F.coalesce("text", F.lit(""))) is not None
+    assert max(written.values()) < 50_000, written
+
+
 def test_added_spans_touch_no_base_span_and_need_a_reason(spark, persons):
     text = F.coalesce("text", F.lit(""))
     trees = pii.fit(persons, "doc_id", text)
